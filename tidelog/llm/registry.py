@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, packing, prefixcount, quality, toxicity, urlrules
+from . import bpe, chat, decontaminate, jaccard, packing, prefixcount, quality, toxicity, urlrules
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 COUNT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -46,9 +46,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(_read(spark, sf_dir, "documents").select("doc_id", "text"), BPE_RANKS)
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixcount.count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"), COUNT_TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_urls, op4_toxicity, op6_chat, op7_sharding, op8_bpe, op10_tokens)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_urls, op4_toxicity, op6_chat, op7_sharding, op8_bpe, op9_jaccard, op10_tokens)}
 SQL = {"op1_decontamination": decontaminate.ORACLE, "op2_quality": quality.ORACLE, "op3_urls": urlrules.ORACLE, "op6_chat": chat.ORACLE}
