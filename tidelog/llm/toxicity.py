@@ -96,40 +96,54 @@ def noisy_or(b: Bags, logits: np.ndarray) -> np.ndarray:
 
 def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     """Adam on the documents' log likelihood under the noisy-or, with soft thresholding of the weights."""
-    buf, bounds = kernel.text_buffers(texts)
     share = float(labels.mean()) if len(labels) else 0.5
     if share in (0.0, 1.0) or not len(labels):
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    b = bags(buf, bounds)
-    terms, word = np.unique(b.words, return_inverse=True)
-    seen = np.unique(word * np.int64(b.n_docs) + b.doc[b.sentence]) // b.n_docs
-    docs_with = np.bincount(seen, minlength=len(terms))
-    kept = np.flatnonzero(docs_with >= MIN_DOCS)
-    if len(kept) > VOCABULARY:
-        kept = np.sort(kept[np.argsort(-docs_with[kept], kind="stable")[:VOCABULARY]])
-    place = np.full(len(terms), -1)
-    place[kept] = np.arange(len(kept))
-    use = place[word] >= 0
-    word, sentence = place[word[use]], b.sentence[use]
-    order = np.argsort(sentence, kind="stable")
-    word, sentence = word[order], sentence[order]
+    # All arrays per sentence and feature stay in blocks of a chunk of text; only the document and feature arrays are whole.
+    blocks, seen, n_docs = [], [], 0
+    for _, buf, bounds in kernel.chunks(texts):
+        b = bags(buf, bounds)
+        own = b.doc[b.sentence]
+        order = np.lexsort((own, b.words))
+        h, own = b.words[order], own[order]
+        seen.append(np.unique(h[np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1]))[: len(h)]], return_counts=True))  # once per document
+        blocks.append((b.words, b.sentence.astype(np.int32), (b.doc + n_docs).astype(np.int32)))
+        n_docs += b.n_docs
+    terms, place = np.unique(np.concatenate([h for h, _ in seen]), return_inverse=True)
+    docs_with = np.bincount(place, np.concatenate([c for _, c in seen]), len(terms))
+    del seen, place
+    terms, docs_with = terms[docs_with >= MIN_DOCS], docs_with[docs_with >= MIN_DOCS]
+    if len(terms) > VOCABULARY:
+        terms = np.sort(terms[np.argsort(-docs_with, kind="stable")[:VOCABULARY]])
+    for i, (h, sentence, doc) in enumerate(blocks):
+        k = np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
+        known = terms[k] == h if len(terms) else np.zeros(len(h), bool)
+        blocks[i] = (k[known].astype(np.int32), sentence[known], doc)
     y = labels.astype(float)
-    per_doc = np.bincount(b.doc, minlength=b.n_docs)
-    w = np.zeros(len(kept) + 1)
+    per_doc = np.zeros(n_docs, np.int64)
+    for _, _, doc in blocks:
+        per_doc += np.bincount(doc, minlength=n_docs)
+    w = np.zeros(len(terms) + 1)
     w[-1] = np.log(share / max(1.0, float(np.median(per_doc))))  # a sentence is seldom the offending one
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        z = w[-1] + np.bincount(sentence, w[word], len(b.doc))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clear = np.clip(np.exp(-np.bincount(b.doc, np.logaddexp(0, z), b.n_docs)), 1e-9, 1 - 1e-9)  # prod(1 - p)
-        pull = np.where(y > 0, -clear / (1 - clear), 1.0)[b.doc] * p / b.n_docs
-        g = np.append(np.bincount(word, pull[sentence], len(kept)), pull.sum())
+        logits = [w[-1] + np.bincount(sentence, w[word], len(doc)) for word, sentence, doc in blocks]
+        total = np.zeros(n_docs)
+        for z, (_, _, doc) in zip(logits, blocks, strict=True):
+            total += np.bincount(doc, np.logaddexp(0, z), n_docs)
+        clear = np.clip(np.exp(-total), 1e-9, 1 - 1e-9)  # prod(1 - p)
+        slope = np.where(y > 0, -clear / (1 - clear), 1.0) / n_docs
+        g = np.zeros_like(w)
+        for z, (word, sentence, doc) in zip(logits, blocks, strict=True):
+            pull = slope[doc] / (1 + np.exp(-np.clip(z, -30, 30)))
+            g[:-1] += np.bincount(word, pull[sentence], len(terms))
+            g[-1] += pull.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         size = RATE / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= size * (m / (1 - 0.9**step))
         w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - np.minimum(size[:-1] * L1, RATE))  # few words matter
-    return Model(terms[kept], w[:-1], float(w[-1]))
+    return Model(terms, w[:-1], float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
