@@ -158,22 +158,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, score (0 to 1), with the columns named in carry."""
+    """id, score (0 to 1), with the columns named in carry (the text may be one)."""
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # VOCABULARY words at most
-    keep = [id_col, *(c for c in carry if c not in (id_col, text))]
+    keep = list(dict.fromkeys(c for c in (id_col, *carry) if c != "score"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    sent = keep if text in keep else [*keep, text]
+    at = sent.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.zeros(0)]
-            for _, buf, bounds in kernel.chunks(batch.column(len(keep))):
+            for _, buf, bounds in kernel.chunks(batch.column(at)):
                 b = bags(buf, bounds)
                 parts.append(noisy_or(b, sentence_logits(b, shared.value)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(parts))], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
