@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import upper_bucket
+from ..sources.code import ship
 from .ordering import positions, prefix_sums
 
 LIMITS = [1, 2, 3, 5, 10, 20, 50, 100, 1000, 10_000, 100_000, 1_000_000, 10_000_000, 100_000_000]
@@ -90,6 +91,7 @@ def reuse_distance(trace: DataFrame) -> DataFrame:
     first is a dominance sum, taken as in a merge sort: leaves of 2^LEAF places each in a
     task, and above them one prefix sum by y per pair of neighbouring halves, for all levels
     in one pass. Work is n log n, and no task sees more than a leaf or a range of y."""
+    ship(trace.sparkSession)
     points = reuse_gaps(trace).select("seq", "block", "size", F.coalesce("before_seq", F.lit(0)).cast("long").alias("prev"))
     leaf = points.groupBy(F.shiftright("seq", LEAF).alias("leaf")).applyInPandas(lambda pdf: _leaf_sums(pdf), "seq long, below long")
     top = max(0, int(points.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]).bit_length())

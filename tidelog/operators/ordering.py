@@ -28,10 +28,13 @@ def range_bounds(df: DataFrame, lead: str, ranges: int = RANGES) -> list:
 
 
 def range_of(lead: Column, bounds: list) -> Column:
-    """The number of bounds at or below a value."""
+    """The number of bounds at or below a value (0 for null)."""
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= lead))
+    found = None
+    for i, b in reversed(list(enumerate(bounds, 1))):
+        found = F.when(lead >= F.lit(b), i) if found is None else found.when(lead >= F.lit(b), i)
+    return found.otherwise(0)
 
 
 def prefix_sums(df: DataFrame, order: Sequence[str], sums: dict[str, Column], group: Sequence[str] = (), descending: bool = False) -> DataFrame:
