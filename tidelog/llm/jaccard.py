@@ -7,13 +7,15 @@ prefixes under every such order. Posting lists of the first order's prefix token
 candidates, the filters of the further orders are intersected with them, and what is left
 is verified on the whole sets.
 
-A long posting list never gives all its pairs. Its members are verified against one pivot,
-and only members that are still in different components meet again, under new pivots and
-at last with each other. No link between components is lost by that, as pairs within one
-component can't change it.
+A long posting list never gives all its pairs. Its members are verified against one pivot.
+Lists whose members are still in different components are gathered into families, whose
+sets meet in cells of bounded size; only pairs in different components are compared there.
+Where the cells would be too many, lists get new pivots first. No link between components is
+lost by that, as pairs within one component can't change it.
 
-Frequent tokens (FREQUENT classes and more) are counted over all documents; only which
-tokens go last depends on them, never whether a pair is found.
+Tokens are counted over all documents, in cells, and the orders put tokens of higher
+frequency classes later; a map of bounded size tells the classes. Only a token's place
+depends on it, never whether a pair is found.
 
 Defined results: null, empty and blank texts have empty sets, are linked with nothing and
 are their own component; texts of fewer words than a shingle have one token, the whole
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -37,12 +39,13 @@ from .store import bound_batches, cut, exchange_parts, with_row_key
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 80
-#: Classes from which on a token counts as frequent, and the most frequent tokens that are broadcast (8 bytes each; the bound rises instead).
-FREQUENT, MAX_FREQUENT = 24, 2_000_000
+#: Bounds of frequency classes, in sets that hold a token. The map of CLASS_CELLS cells (two bits each) uses, in each
+#: counting partition, the three lowest of which no more than two fifths of the cells reach the first.
+FREQUENT, CLASS_CELLS = (2, 6, 24, 96, 384, 1536), 1 << 26
 #: Members of a posting list up to which all pairs are taken.
 SHORT_LIST = 24
-#: Rounds of pivots before the rest of a long list is compared outright.
-PIVOT_ROUNDS = 6
+#: Sets of a block of a family; sets sent to cells per candidate, beyond which lists get new pivots, so many times at most.
+BLOCK, SENT_SHARE, PIVOT_ROUNDS = 128, 8, 6
 #: Text that one task gathers before it sends its tokens on.
 GATHER_BYTES = 8 << 20
 #: Bits of the bitmap that says which rows are candidates, per candidate and at most.
@@ -52,7 +55,8 @@ ORDERS = 3
 _SEP, _TABLE = kernel.separators("space"), kernel.byte_table(fold=True)
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WORDS)]
 _ORDER = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0x2545F4914F6CDD1D, 0xDA942042E4DD58B5)]
-_CELLS = 20  # bits of a token's cell in a counting partition
+_CELLS = 27  # bits of a token's cell in a counting partition
+_HIGH = _CELLS - 16
 
 
 def shingle_sets(buf: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
@@ -83,9 +87,9 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def order_keys(tokens: np.ndarray, frequent: np.ndarray, order: int) -> np.ndarray:
-    """Each token's place in a global order: by hash, frequent tokens last."""
-    return (kernel.mix(tokens ^ _ORDER[order]) >> np.uint64(1)) | (frequent.astype(np.uint64) << np.uint64(63))
+def order_keys(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
+    """Each token's place in a global order: by frequency class, then by hash."""
+    return (kernel.mix(tokens ^ _ORDER[order]) >> np.uint64(2)) | (classes << np.uint64(62))
 
 
 def _cells(tokens: np.ndarray, parts: int) -> np.ndarray:
@@ -93,11 +97,17 @@ def _cells(tokens: np.ndarray, parts: int) -> np.ndarray:
     return (tokens % np.uint64(parts)) << np.uint64(_CELLS) | (tokens >> np.uint64(64 - _CELLS))
 
 
-def _is_frequent(tokens: np.ndarray, parts: int, known: np.ndarray) -> np.ndarray:
+def _cell_shift(parts: int) -> int:
+    """Bits by which cells are coarsened in the map."""
+    return next(k for k in range(_CELLS) if (parts << _CELLS) >> k <= CLASS_CELLS or k == _CELLS - 2)
+
+
+def _classes(tokens: np.ndarray, parts: int, known: np.ndarray) -> np.ndarray:
+    """The frequency class (0 to 3) of each token."""
     if not len(known):
-        return np.zeros(len(tokens), bool)
-    cells = _cells(tokens, parts)
-    return known[np.minimum(np.searchsorted(known, cells), len(known) - 1)] == cells
+        return np.zeros(len(tokens), np.uint64)
+    at = (_cells(tokens, parts) >> np.uint64(_cell_shift(parts))).astype(np.int64)
+    return (known[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3).astype(np.uint64)
 
 
 def _size_code(n: int) -> int:
@@ -113,9 +123,9 @@ def _type(df: DataFrame, c: str) -> str:
 
 
 def _sets(docs: DataFrame, carry: list[str], text: str, parts: int) -> DataFrame:
-    """Rows of documents (carry, n, cls; cell null) and, exchanged by cell, counted tokens: (cell, count) of those that FREQUENT sets hold."""
-    schema = ", ".join([*(f"`{c}` {_type(docs, c)}" for c in carry), "n bigint, cls bigint, cell bigint, count bigint, p int, blob binary"])
-    kinds = pa.schema([("n", pa.int64()), ("cls", pa.int64()), ("cell", pa.int64()), ("count", pa.int64()), ("p", pa.int32()), ("blob", pa.binary())])
+    """Rows of documents (carry, n, cls; least null) and, exchanged by cell, a part's map (p, blob) of its tokens' frequency classes."""
+    schema = ", ".join([*(f"`{c}` {_type(docs, c)}" for c in carry), "n bigint, cls bigint, least bigint, p int, blob binary"])
+    kinds = pa.schema([("n", pa.int64()), ("cls", pa.int64()), ("least", pa.int64()), ("p", pa.int32()), ("blob", pa.binary())])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -131,13 +141,13 @@ def _sets(docs: DataFrame, carry: list[str], text: str, parts: int) -> DataFrame
             blobs = []
             for p in ps:
                 own = cells[edges[p] : edges[p + 1]]
-                high = np.bincount((own >> np.uint64(16)).astype(np.int64) & 15, minlength=16).astype(np.uint32)
+                high = np.bincount((own >> np.uint64(16)).astype(np.int64) & ((1 << _HIGH) - 1), minlength=1 << _HIGH).astype(np.uint32)
                 blobs.append(high.tobytes() + own.astype(np.uint16).tobytes())
             held.clear()
             seen.clear()
             size = 0
             none = pa.nulls(len(ps), pa.int64())
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(ps), t) for t in types), none, none, none, none, pa.array(ps.astype(np.int32)), pa.array(blobs, pa.binary())], names=[*carry, *kinds.names])
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(ps), t) for t in types), none, none, none, pa.array(ps.astype(np.int32)), pa.array(blobs, pa.binary())], names=[*carry, *kinds.names])
 
         for batch in batches:
             types = [batch.schema.field(i).type for i in range(len(carry))]
@@ -155,7 +165,7 @@ def _sets(docs: DataFrame, carry: list[str], text: str, parts: int) -> DataFrame
             spread += 1
             none = pa.nulls(len(n), pa.int64())
             p = (np.arange(len(n)) + spread) % parts
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none, none, pa.array(p.astype(np.int32)), pa.nulls(len(n), pa.binary())], names=[*carry, *kinds.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none, pa.array(p.astype(np.int32)), pa.nulls(len(n), pa.binary())], names=[*carry, *kinds.names])
         if held:
             yield flush()
 
@@ -164,33 +174,39 @@ def _sets(docs: DataFrame, carry: list[str], text: str, parts: int) -> DataFrame
         types = None
         for batch in batches:
             types = [batch.schema.field(i).type for i in range(len(carry))]
-            blobs = batch.column(len(carry) + 5)
+            blobs = batch.column(len(carry) + 4)
             rows = np.flatnonzero(np.asarray(blobs.is_null()))
             if len(rows):
                 yield batch.take(pa.array(rows))
             for i in np.flatnonzero(np.asarray(blobs.is_valid())):
                 raw = blobs[int(i)].as_py()
-                high = np.repeat(np.arange(16, dtype=np.uint32), np.frombuffer(raw, np.uint32, 16))
-                held.setdefault(batch.column(len(carry) + 4)[int(i)].as_py(), []).append(high << np.uint32(16) | np.frombuffer(raw, np.uint16, offset=64))
-        for p, parts_of in held.items():
-            counted = np.bincount(np.concatenate(parts_of), minlength=1 << _CELLS)
-            cells = np.flatnonzero(counted >= FREQUENT)
-            if len(cells):
-                none = pa.nulls(len(cells), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(cells), t) for t in types), none, none, pa.array(cells + (p << _CELLS)), pa.array(counted[cells]), pa.nulls(len(cells), pa.int32()), pa.nulls(len(cells), pa.binary())], names=[*carry, *kinds.names])
+                high = np.repeat(np.arange(1 << _HIGH, dtype=np.uint32), np.frombuffer(raw, np.uint32, 1 << _HIGH))
+                held.setdefault(batch.column(len(carry) + 3)[int(i)].as_py(), []).append(high << np.uint32(16) | np.frombuffer(raw, np.uint16, offset=4 << _HIGH))
+        while held:
+            p, own = held.popitem()
+            cells, counted = np.unique(np.concatenate(own), return_counts=True)
+            shift = _cell_shift(parts)
+            level = np.zeros((1 << _CELLS) >> shift, np.uint8)
+            np.maximum.at(level, cells >> np.uint32(shift), np.searchsorted(FREQUENT, counted, "right").astype(np.uint8))
+            reached = np.cumsum(np.bincount(level, minlength=len(FREQUENT) + 1)[::-1])[::-1]
+            first = int(np.argmax(reached[1:] <= len(level) * 2 // 5)) + 1 if (reached[1:] <= len(level) * 2 // 5).any() else len(FREQUENT)
+            code = np.clip(level.astype(np.int8) - (first - 1), 0, 3).astype(np.uint8).reshape(-1, 4)
+            packed = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types), none, none, pa.array([0]), pa.array([p], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=[*carry, *kinds.names])
 
     sent = docs.select(*carry, F.col(text)).mapInArrow(tokens, schema)
-    return cut(sent.repartition(parts, "p").mapInArrow(count, schema).drop("p", "blob"))
+    return cut(sent.repartition(parts, "p").mapInArrow(count, schema))
 
 
-def _frequent(sets: DataFrame) -> np.ndarray:
-    """The cells of frequent tokens, MAX_FREQUENT at most: with more of them the least count rises."""
-    cells = sets.where("cell is not null").select("cell", "count")
-    least = FREQUENT
-    while cells.where(F.col("count") >= least).count() > MAX_FREQUENT:
-        least *= 2
-    found = cells.where(F.col("count") >= least).toArrow().column("cell").to_numpy()
-    return np.sort(found.astype(np.uint64))
+def _frequent(sets: DataFrame, parts: int) -> np.ndarray:
+    """The map of frequency classes, two bits per cell, CLASS_CELLS at most."""
+    span = ((1 << _CELLS) >> _cell_shift(parts)) // 4
+    out = np.zeros(parts * span, np.uint8)
+    table = sets.where("least is not null").select("p", "blob").toArrow()
+    for p, blob in zip(table.column("p").to_pylist(), table.column("blob"), strict=True):
+        out[p * span : (p + 1) * span] = np.frombuffer(blob.as_buffer(), np.uint8)
+    return out
 
 
 def _candidates(docs: DataFrame, text: str, parts: int, frequent, out_parts: int) -> DataFrame:
@@ -220,7 +236,7 @@ def _candidates(docs: DataFrame, text: str, parts: int, frequent, out_parts: int
                         continue
                     seen.add(c)
                     k = prefix_length(len(s))
-                    keys = order_keys(s, _is_frequent(s, parts, frequent.value), 0)
+                    keys = order_keys(s, _classes(s, parts, frequent.value), 0)
                     held.append((s[np.argpartition(keys, k - 1)[:k]] if k < len(s) else s, c, _size_code(len(s))))
                 size += len(buf)
                 if size >= GATHER_BYTES and held:
@@ -328,7 +344,7 @@ def _blobs(docs: DataFrame, text: str, parts: int, frequent, bits: int, bitmap:
                 for s in shingle_sets(buf, bounds):
                     if not len(s):
                         continue
-                    k, rare = prefix_length(len(s)), _is_frequent(s, parts, frequent.value)
+                    k, rare = prefix_length(len(s)), _classes(s, parts, frequent.value)
                     marks = []
                     for order in range(1, ORDERS):
                         keys = order_keys(s, rare, order)
@@ -390,32 +406,106 @@ def _prefixes(tokens: np.ndarray, orders: bytes) -> list[np.ndarray]:
     return [tokens[np.flatnonzero(np.unpackbits(m)[: len(tokens)])] for m in marks]
 
 
-def _rest(members: DataFrame, roots: DataFrame, outright: bool) -> DataFrame:
-    """Pairs of long lists whose members are in different components: with a new pivot, or all of them."""
+def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """list, a, code, root, base, of lists whose members are in different components; base is the component of the most."""
     at = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("list", "a", "code", F.coalesce("root", "a").alias("root"))
-    groups = at.groupBy("list", "root").agg(F.count("*").alias("size"), F.min("a").alias("least"))
-    base = groups.groupBy("list").agg(F.max(F.struct("size", "root")).alias("base"), F.count("*").alias("groups"), F.max_by("least", F.struct("size", "root")).alias("first"))
-    open_lists = base.where("groups > 1").select("list", F.col("base.root").alias("base"))
-    if outright:
-        left = at.join(open_lists, "list").where("root <> base").select("list", F.col("a").alias("x"), F.col("code").alias("cx"), F.col("root").alias("rx"), "base")
-        met = left.join(at, "list").where((F.col("root") != F.col("rx")) & (F.abs(F.col("code") - F.col("cx")) <= SIZE_BAND) & ((F.col("root") == F.col("base")) | (F.col("x") < F.col("a"))))
-        return met.select(F.col("x").alias("a"), F.col("a").alias("b")).distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
-    outside = groups.join(open_lists, "list").where("root <> base")
+    groups = at.groupBy("list", "root").agg(F.count("*").alias("size"))
+    base = groups.groupBy("list").agg(F.max(F.struct("size", "root")).alias("base"), F.count("*").alias("groups"))
+    return at.join(base.where("groups > 1").select("list", F.col("base.root").alias("base")), "list")
+
+
+def _new_pivots(at: DataFrame) -> DataFrame:
+    """Pairs of each list's next pivot, the least member of its largest component but the base, with members of other components."""
+    outside = at.where("root <> base").groupBy("list", "root").agg(F.count("*").alias("size"), F.min("a").alias("least"))
     pivot = outside.groupBy("list").agg(F.max_by(F.struct("least", "root"), F.struct("size", "root")).alias("p")).select("list", F.col("p.least").alias("x"), F.col("p.root").alias("rx"))
-    met = at.join(pivot, "list").where("root <> rx").select(F.col("x").alias("a"), F.col("a").alias("b"))
-    return met.distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+    met = at.join(pivot, "list").where("root <> rx").select(F.col("x").alias("a"), F.col("a").alias("b")).distinct()
+    return met.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+
+
+def _families(at: DataFrame) -> DataFrame:
+    """a, code, root, lists, family, outer (in some list not in the base), block, of open lists; lists that share members are one family."""
+    docs = at.groupBy("a").agg(F.first("code").alias("code"), F.first("root").alias("root"), F.collect_set("list").alias("lists"), F.max((F.col("root") != F.col("base")).cast("int")).alias("outer"))
+    of_list = components(at.select(F.col("list").alias("u"), F.col("a").alias("v"))).select("node", F.col("root").alias("_family"))
+    named = docs.join(of_list, F.col("a") == F.col("node"), "left").select("a", "code", "root", "lists", "outer", F.coalesce("_family", "a").alias("family"))
+    place = F.row_number().over(Window.partitionBy("family", "outer").orderBy("a")) - 1
+    return named.withColumn("block", F.floor(place / BLOCK).cast("int"))
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, carry, n_shingles, component_id (the smallest id reachable by links)."""
+def _cells_of(families: DataFrame) -> DataFrame:
+    """family, i, j, a, ...: each member with every cell it belongs to. Cell (i, j) holds outer block i and, for j >= 0, outer block j >= i, else inner block -1 - j."""
+    shape = families.groupBy("family").agg((F.max(F.when(F.col("outer") == 1, F.col("block"))) + 1).alias("k"), F.coalesce(F.max(F.when(F.col("outer") == 0, F.col("block"))) + 1, F.lit(0)).alias("l")).where("k IS NOT NULL")
+    f = families.join(shape, "family")
+    pair = lambda x, y: F.struct(x.cast("int").alias("i"), y.cast("int").alias("j"))
+    others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: pair(F.least(x, F.col("block")), F.greatest(x, F.col("block"))))
+    inner = F.when(F.col("l") > 0, F.transform(F.sequence(F.lit(1), F.greatest("l", F.lit(1))), lambda x: pair(F.col("block"), -x)))
+    mine = F.when(F.col("outer") == 1, F.concat(others, F.coalesce(inner, F.expr("array()").cast("array<struct<i:int,j:int>>")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: pair(x, -1 - F.col("block"))))
+    return f.withColumn("_c", F.explode(mine)).select("family", "_c.i", "_c.j", F.col("a").alias("cls"), "code", "root", "lists")
+
+
+def _verify_cells(cells: DataFrame, blobs: DataFrame, parts: int) -> DataFrame:
+    """Links between members of a cell that share a list and are in different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            c = [batch.column(i) for i in range(batch.num_columns)]
+            for k in range(batch.num_rows):
+                held.setdefault(tuple(x[k].as_py() for x in c[:3]), []).append(tuple(x[k].as_py() for x in c[3:]))
+        u, v = [], []
+        while held:
+            for a, b in _cell_links(held.popitem()[1]):
+                u.append(a)
+                v.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    joined = cells.join(blobs, "cls").select("family", "i", "j", "cls", "code", "root", "lists", "tokens", "orders")
+    return cut(joined.repartition(parts, "family", "i", "j").mapInArrow(run, "u bigint, v bigint"))
+
+
+def _cell_links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    parent: dict[int, int] = {r[2]: r[2] for r in rows}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    by_list: dict[int, list[int]] = {}
+    for k, r in enumerate(rows):
+        for name in r[3]:
+            by_list.setdefault(name, []).append(k)
+    sets: dict[int, tuple] = {}
+
+    def of(k: int) -> tuple:
+        if k not in sets:
+            tokens = unpack(rows[k][4])
+            sets[k] = (tokens, _prefixes(tokens, rows[k][5]))
+        return sets[k]
+
+    seen: set[tuple[int, int]] = set()
+    for own in by_list.values():
+        for n, x in enumerate(own):
+            for y in own[n + 1 :]:
+                if (x, y) in seen or abs(rows[x][1] - rows[y][1]) > SIZE_BAND or find(rows[x][2]) == find(rows[y][2]):
+                    continue
+                seen.add((x, y))
+                (a, pa_), (b, pb_) = of(x), of(y)
+                if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(pa_, pb_, strict=True)) and similar(a, b):
+                    parent[find(rows[x][2])] = find(rows[y][2])
+                    yield rows[x][0], rows[y][0]
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), with_root: bool = False) -> DataFrame:
+    """One row per document: id, carry, n_shingles, component_id (the smallest id reachable by links), and with_root component_root, which names the component where ids repeat."""
     spark: SparkSession = docs.sparkSession
     bound_batches(spark)
     keyed = docs if {"_file", "_row"} <= set(docs.columns) else with_row_key(docs)
     names = list(dict.fromkeys([id_col, *carry, "_file", "_row"]))
     parts = exchange_parts(spark, 0)
     sets = _sets(keyed, names, text, parts)
-    rows = sets.where("cell is null").select(*names, "n", "cls")
-    frequent = spark.sparkContext.broadcast(_frequent(sets))  # MAX_FREQUENT tokens at most
+    rows = sets.where("least is null").select(*names, "n", "cls")
+    frequent = spark.sparkContext.broadcast(_frequent(sets, parts))  # CLASS_CELLS quarters of a byte at most
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     out_parts = exchange_parts(spark, total * (100 - PERCENT) // 100)
     found = _candidates(keyed, text, parts, frequent, out_parts)
@@ -432,28 +522,34 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         links = _verify(pairs, blobs, out_parts)
         roots = components(links)
         for k in range(PIVOT_ROUNDS + 1):
-            more = cut(_rest(members, roots, k == PIVOT_ROUNDS))
-            if more.isEmpty():
+            at = cut(_open_members(members, roots))
+            if at.isEmpty():
+                break
+            cells = cut(_cells_of(_families(at)))
+            if k == PIVOT_ROUNDS or cells.count() <= SENT_SHARE * n:
+                links = links.union(_verify_cells(cells, blobs, out_parts))
+                roots = components(links)
                 break
-            links = links.union(_verify(more, blobs, out_parts))
+            links = links.union(_verify(_new_pivots(at), blobs, out_parts))
             roots = components(links)
     classes = rows.where("n > 0").groupBy("cls", "n").agg(F.min(id_col).alias("least"), F.count("*").alias("size"))
     if roots is None:
-        named = classes.where("size > 1").select("cls", "n", F.col("least").alias("component_id"))
+        named = classes.where("size > 1").select("cls", "n", F.col("cls").alias("root"), F.col("least").alias("component_id"))
     else:
         rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "n", "least", "size", F.coalesce("root", "cls").alias("root"))
         linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("size").alias("docs")).where("docs > 1").drop("docs")
-        named = rooted.join(linked, "root").select("cls", "n", "component_id")
+        named = rooted.join(linked, "root").select("cls", "n", "root", "component_id")
     named = cut(named)
     out = rows.alias("r").join(named.alias("c"), (F.col("r.cls") == F.col("c.cls")) & (F.col("r.n") == F.col("c.n")) & (F.col("r.n") > 0), "left")
-    return out.select(*(F.col(f"r.{c}").alias(c) for c in dict.fromkeys([id_col, *carry])), F.col("r.n").alias("n_shingles"), F.coalesce("c.component_id", f"r.{id_col}").alias("component_id"))
+    root = [F.coalesce("c.root", "r.cls").alias("component_root")] if with_root else []
+    return out.select(*(F.col(f"r.{c}").alias(c) for c in dict.fromkeys([id_col, *carry])), F.col("r.n").alias("n_shingles"), F.coalesce("c.component_id", f"r.{id_col}").alias("component_id"), *root)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component stays: the first physical row of its smallest id."""
+    """One row of each component stays: of its smallest id the first physical row. Rows without words all stay."""
     keyed = with_row_key(docs)
-    found = link_components(keyed, id_col, text, ("_file", "_row"))
-    named = found.where("n_shingles > 0")
-    first = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("_file", "_row")).alias("k")).select("k._file", "k._row")
+    found = link_components(keyed, id_col, text, ("_file", "_row"), True)
+    order = F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col), "_file", "_row")
+    first = found.where("n_shingles > 0").groupBy("component_root").agg(F.min(order).alias("k")).select("k._file", "k._row")
     kept = first.union(found.where("n_shingles = 0").select("_file", "_row"))
     return keyed.join(kept, ["_file", "_row"], "left_semi").select(*docs.columns)

@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.code import ship
+
 #: Rows in one Arrow batch handed to a Python worker; bounds worker memory.
 ARROW_ROWS = 2000
 #: Bytes that may be broadcast or collected; beyond it operators work in blocks.
@@ -65,7 +67,8 @@ def with_row_key(df: DataFrame) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts."""
+    """Keep Arrow batches small enough for long texts; the workers get this package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
