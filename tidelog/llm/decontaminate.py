@@ -276,12 +276,12 @@ def proximity_matches(index: DataFrame, text: str, slop: int) -> DataFrame:
             out: list[tuple] = []
             if len(terms) and (place >= 0).all():
                 lists = sorted((seg.list_of(k) for k in place), key=len)
-                for p in lists[0].tolist():
-                    near = [(int(x), t) for t, own in enumerate(lists) for x in (own[np.searchsorted(own, p - slop + 1) : np.searchsorted(own, p + slop)] if t else [p])]
+                for p, d in zip(lists[0].tolist(), seg.doc_of(lists[0]).tolist()):
+                    first = int(seg.firsts[d])
+                    low, high = max(p - slop + 1, first), min(p + slop, first + int(seg.n_words[d]))
+                    near = [(int(x), t) for t, own in enumerate(lists) for x in (own[np.searchsorted(own, low) : np.searchsorted(own, high)] if t else [p])]
                     if best := _shortest(sorted(near), len(lists), slop):
-                        d = int(seg.doc_of(np.array([best[0]]))[0])
-                        if best[1] < seg.firsts[d] + seg.n_words[d]:
-                            out.append((seg.doc_ids[d], best[0] - int(seg.firsts[d]), best[1] + 1 - int(seg.firsts[d])))
+                        out.append((seg.doc_ids[d], best[0] - first, best[1] + 1 - first))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "start", "end"])
 
     return index.mapInArrow(run, "doc_id string, start int, `end` int")
