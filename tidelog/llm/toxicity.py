@@ -28,8 +28,8 @@ from . import kernel
 from .store import bound_batches
 
 SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY = 8_000, 32_768, 50_000
-#: Training steps and their size, the weights' penalty; a feature must stand in so many sampled documents.
-STEPS, RATE, L1, MIN_DOCS = 300, 0.05, 1e-5, 4
+#: Training steps and their size, the weights' penalty over the root of the sample's size; a feature must stand in so many sampled documents.
+STEPS, RATE, L1, MIN_DOCS = 300, 0.05, 3e-3, 4
 PREFIX = 6
 
 _SEP, _TABLE = kernel.separators("alnum"), kernel.byte_table(fold=True)
@@ -42,6 +42,7 @@ class Model:
     terms: np.ndarray  # sorted word hashes
     weights: np.ndarray
     bias: float
+    constant: float | None = None  # every document's score, where nothing could be learnt
 
     def weight_of(self, h: np.ndarray) -> np.ndarray:
         if not len(self.terms):
@@ -98,8 +99,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     """Adam on the documents' log likelihood under the noisy-or, with soft thresholding of the weights."""
     share = float(labels.mean()) if len(labels) else 0.5
     if share in (0.0, 1.0) or not len(labels):
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0, share)
     # All arrays per sentence and feature stay in blocks of a chunk of text; only the document and feature arrays are whole.
     blocks, seen, n_docs = [], [], 0
     for _, buf, bounds in kernel.chunks(texts):
@@ -127,6 +127,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     w = np.zeros(len(terms) + 1)
     w[-1] = np.log(share / max(1.0, float(np.median(per_doc))))  # a sentence is seldom the offending one
     m, v = np.zeros_like(w), np.zeros_like(w)
+    penalty = L1 / np.sqrt(n_docs)
     for step in range(1, STEPS + 1):
         logits = [w[-1] + np.bincount(sentence, w[word], len(doc)) for word, sentence, doc in blocks]
         total = np.zeros(n_docs)
@@ -142,7 +143,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         size = RATE / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= size * (m / (1 - 0.9**step))
-        w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - np.minimum(size[:-1] * L1, RATE))  # few words matter
+        w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - np.minimum(size[:-1] * penalty, RATE))  # few words matter
     return Model(terms, w[:-1], float(w[-1]))
 
 
@@ -172,7 +173,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
             parts = [np.zeros(0)]
             for _, buf, bounds in kernel.chunks(batch.column(at)):
                 b = bags(buf, bounds)
-                parts.append(noisy_or(b, sentence_logits(b, shared.value)))
+                constant = shared.value.constant
+                parts.append(noisy_or(b, sentence_logits(b, shared.value)) if constant is None else np.full(b.n_docs, constant))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(parts))], names=[*keep, "score"])
 
     return docs.select(*sent).mapInArrow(run, schema)
