@@ -1,11 +1,11 @@
 """Sharding by vector bin packing.
 
-A group (equal texts) is a vector of bytes, tokens and rows. Groups are dealt to buckets by
-hash; in each bucket every group, largest first, goes to the bin whose residual capacity
-has the highest dot product with it, and then the buckets' bins are matched to the shards
-by the same rule on the driver (buckets times shards rows, a fixed bound). Groups too large
-for even shards are split into pieces first. Slots are counted per bucket and bin and
-offset by the bins before, so no shard's rows meet in one task.
+A group (equal texts) is a vector of bytes, tokens and rows. Each group, largest first, goes
+to the shard whose residual capacity has the highest dot product with it. Large groups (a
+bounded number) are placed on the driver, those of over SPLIT_SHARE of a shard in pieces.
+The others are dealt to buckets by hash, with the rows of large groups, and each bucket
+places its own against what its share of capacity has left. Slots are counted per bucket and shard and offset
+by the buckets before, so no shard's rows meet in one task.
 
 Defined results: a null text has no bytes (size 8) and belongs to the group of empty texts;
 repeated rows are placed each; ties in size go by group hash; an empty table gives an empty
@@ -16,42 +16,52 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.code import ship
 from .store import cut
 
 OVERHEAD = 8  # bytes that a shard file spends on each row
 #: Rows of one bucket on average, and the most buckets: buckets times shards rows reach the driver.
 BUCKET_ROWS, MAX_BUCKETS = 20_000, 8192
-#: A group of over this share of a shard is split into pieces of about that size.
-SPLIT_SHARE = 0.25
+#: A group of over this share of a shard is split into pieces of that size; one of over this share of a bucket's part of a shard is large.
+SPLIT_SHARE, LARGE_SHARE = 0.25, 0.25
+#: Weights of bytes, tokens and rows in the dot product: sizes are the law, the others follow it.
+WEIGHTS = np.array([400.0, 1.0, 1.0])
 
 
-def _place(load: np.ndarray, room: np.ndarray, bins: int) -> np.ndarray:
-    """The bin of each vector, in the given order: highest dot product with the residual capacity."""
-    scale = np.maximum(load.sum(axis=0), 1e-9)
-    residual = np.tile(room / scale, (bins, 1))
-    unit = load / scale
+def place(load: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The shard of each vector, in the given order: highest dot product with the residual of room (a row per shard)."""
+    scale = np.maximum(np.abs(room).sum(axis=0), 1e-9)
+    residual, unit = WEIGHTS * room / scale, load / scale
     out = np.empty(len(load), np.int32)
     for i, v in enumerate(unit):
         b = int(np.argmax(residual @ v))
         out[i] = b
-        residual[b] -= v
+        residual[b] -= WEIGHTS * v
     return out
 
 
 def _pack_bucket(shards: int):
+    """Places the groups of a bucket, so that with its rows of large groups, whose shard is given, each shard gets an even part."""
+
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["group", "piece", "doc_id", "size"], kind="stable", na_position="last")
-        groups = pdf.groupby(["group", "piece"], sort=True).agg(size=("size", "sum"), tokens=("tokens", "sum"), rows=("size", "count")).reset_index()
-        order = np.lexsort((groups["piece"], groups["group"], -groups["size"]))
-        load = groups[["size", "tokens", "rows"]].to_numpy(float)[order]
-        bin_of = np.empty(len(groups), np.int32)
-        bin_of[order] = _place(load, load.sum(axis=0) / shards, shards)
-        pdf = pdf.merge(groups[["group", "piece"]].assign(bin=bin_of), on=["group", "piece"], how="left")
-        pdf["pos"] = pdf.groupby("bin").cumcount().astype("int64")
-        return pdf[["bucket", "doc_id", "size", "tokens", "text_crc32", "bin", "pos"]]
+        pdf = pdf.sort_values(["group", "doc_id", "size"], kind="stable", na_position="last")
+        pdf["rows"] = 1
+        parts = ["size", "tokens", "rows"]
+        fixed, small = pdf[pdf["shard"].notna()], pdf[pdf["shard"].isna()]
+        room = np.tile(pdf[parts].sum().to_numpy(float) / shards, (shards, 1))
+        np.subtract.at(room, fixed["shard"].to_numpy(np.int64), fixed[parts].to_numpy(float))
+        if len(small):
+            groups = small.groupby("group", sort=True)[parts].sum().reset_index()
+            order = np.lexsort((groups["group"], -groups["size"]))
+            to = np.empty(len(groups), np.int32)
+            to[order] = place(groups[parts].to_numpy(float)[order], room)
+            pdf["shard"] = pdf["shard"].fillna(pdf["group"].map(dict(zip(groups["group"], to))))
+        pdf["shard"] = pdf["shard"].astype("int32")
+        pdf["pos"] = pdf.groupby("shard").cumcount().astype("int64")
+        return pdf[["bucket", "doc_id", "size", "text_crc32", "shard", "pos"]]
 
     return pack
 
@@ -59,6 +69,7 @@ def _pack_bucket(shards: int):
 def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
+    ship(spark)
     t = F.coalesce(F.col(text), F.lit(""))
     tokens = F.length(t) - F.length(F.translate(t, " \n", "")) + 1  # white space breaks, plus one
     rows = docs.select(
@@ -66,46 +77,30 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str
         F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), F.xxhash64(t).alias("group"),
     )
     rows = cut(rows.withColumn("group", F.xxhash64("group", "text_crc32", "size")))
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    totals = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("double") for c in ("size", "tokens")), F.count("*")).first()
+    total, n = np.array(totals, float), totals[2]
     buckets = max(1, min(MAX_BUCKETS, -(-n // BUCKET_ROWS)))
-    room = max(1, int(min(total, 1 << 62) / shards * SPLIT_SHARE / buckets ** 0.5))
-    big = rows.groupBy("group").agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > room).select("group", F.ceil(F.col("_bytes") / room).alias("pieces"))
-    # Groups of over `room` bytes: total / room of them at most, whatever the table's size.
-    dealt = rows.join(F.broadcast(big), "group", "left")
-    piece = F.pmod(F.xxhash64("doc_id", "group"), F.coalesce("pieces", F.lit(1)))
-    dealt = dealt.select("doc_id", "size", "tokens", "text_crc32", "group", piece.alias("piece"))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("group", "piece"), F.lit(buckets)).cast("int"))
-    packed = cut(
-        dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
-            _pack_bucket(shards), "bucket int, doc_id long, size long, tokens long, text_crc32 long, bin int, pos long"
-        )
-    )
-    sums = packed.groupBy("bucket", "bin").agg(F.sum("size").alias("s"), F.sum("tokens").alias("t"), F.count("*").alias("n")).toPandas()  # buckets * shards rows at most
-    bins = _match(sums, shards)
-    placed = spark.createDataFrame(bins, "bucket int, bin int, shard int, offset long")
-    return packed.join(F.broadcast(placed), ["bucket", "bin"]).select("doc_id", "size", "text_crc32", "shard", (F.col("pos") + F.col("offset")).alias("slot"))
-
-
-def _match(sums: pd.DataFrame, shards: int) -> list[tuple[int, int, int, int]]:
-    """(bucket, bin, shard, first slot): bins in order of size, each to the shard of its bucket's free ones where the dot product with the residual is highest."""
-    load = sums[["s", "t", "n"]].to_numpy(float)
-    scale = np.maximum(load.sum(axis=0), 1e-9)
-    residual = np.full((shards, 3), 1 / shards)
-    by_bucket: dict[int, list[int]] = {}
-    for i, b in enumerate(sums["bucket"]):
-        by_bucket.setdefault(int(b), []).append(i)
-    used = np.zeros(shards, np.int64)
-    out = []
-    for b in sorted(by_bucket, key=lambda b: (-load[by_bucket[b], 0].sum(), b)):
-        free = np.ones(shards, bool)
-        for i in sorted(by_bucket[b], key=lambda i: (-load[i, 0], sums["bin"][i])):
-            v = load[i] / scale
-            s = int(np.argmax(np.where(free, residual @ v, -np.inf)))
-            free[s] = False
-            residual[s] -= v
-            out.append((b, int(sums["bin"][i]), s, int(used[s])))
-            used[s] += int(load[i, 2])
-    return out
+    # Groups of over this many bytes: shards * buckets / LARGE_SHARE of them at most, whatever the table's size.
+    large_bytes, piece_bytes = max(1, int(LARGE_SHARE * total[0] / shards / buckets)), max(1, int(SPLIT_SHARE * total[0] / shards))
+    large = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).where(F.col("bytes") > large_bytes).toPandas()
+    pieces = np.ceil(large["bytes"].to_numpy(float) / piece_bytes).astype(np.int64)
+    each = np.repeat(np.arange(len(large)), pieces)
+    load = (large[["bytes", "tokens", "n"]].to_numpy(float) / np.maximum(pieces, 1)[:, None])[each]
+    order = np.lexsort((large["group"].to_numpy()[each], -load[:, 0])) if len(load) else np.zeros(0, np.int64)
+    room = np.tile(total / shards, (shards, 1))
+    to = np.empty(len(load), np.int32)
+    to[order] = place(load[order], room)
+    starts = np.cumsum(pieces) - pieces
+    fixed = spark.createDataFrame([(int(g), [int(x) for x in to[a : a + k]]) for g, a, k in zip(large["group"], starts, pieces)], "group long, homes array<int>")
+    dealt = rows.join(F.broadcast(fixed), "group", "left")
+    home = F.get("homes", F.pmod(F.xxhash64("doc_id", "group"), F.size("homes")).cast("int"))
+    spread = F.when(F.col("homes").isNull(), F.col("group")).otherwise(F.xxhash64("group", "doc_id"))  # rows of a placed group need not meet
+    dealt = dealt.select("doc_id", "size", "tokens", "text_crc32", "group", home.alias("shard"), F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int").alias("bucket"))
+    packed = cut(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_pack_bucket(shards), "bucket int, doc_id long, size long, text_crc32 long, shard int, pos long"))
+    counts = packed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))  # buckets * shards rows at most
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return packed.join(F.broadcast(offsets), ["bucket", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("pos") + F.col("offset")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
