@@ -244,19 +244,18 @@ def vocabulary_bytes(path: str) -> bytes:
         return f.read()
 
 
-_codecs: dict[str, tuple[Merger, list[bytes], np.ndarray]] = {}
+_codecs: dict[bytes, tuple[Merger, list[bytes], np.ndarray]] = {}  # a bytes object keeps its hash
 
 
 def codec(data: bytes) -> tuple[Merger, list[bytes], np.ndarray]:
     """This process's merger, the bytes of each id and their lengths."""
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _codecs:
+    if data not in _codecs:
         ranks = load_ranks(data)
         pieces = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
             pieces[i] = piece
-        _codecs[key] = (Merger(ranks), pieces, np.array([len(x) for x in pieces], np.int64))
-    return _codecs[key]
+        _codecs[data] = (Merger(ranks), pieces, np.array([len(x) for x in pieces], np.int64))
+    return _codecs[data]
 
 
 def encode_texts(texts: list[bytes], data: bytes) -> Iterator[np.ndarray]:

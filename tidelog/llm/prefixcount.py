@@ -12,7 +12,6 @@ win over columns of the same name.
 
 from __future__ import annotations
 
-import hashlib
 import os
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a
 #: Chunks kept in a worker's cache, and the longest that is kept.
 CACHE_CHUNKS, CACHE_BYTES = 600_000, 64
 #: Special strings hold no white space, so each lies in one chunk.
-_tokenizers: dict[str, "ChunkCounts"] = {}
+_tokenizers: dict[bytes, "ChunkCounts"] = {}
 
 
 class ChunkCounts(dict):
@@ -59,10 +58,9 @@ class ChunkCounts(dict):
 
 
 def _counts(data: bytes) -> ChunkCounts:
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _tokenizers:
-        _tokenizers[key] = ChunkCounts(data)
-    return _tokenizers[key]
+    if data not in _tokenizers:
+        _tokenizers[data] = ChunkCounts(data)
+    return _tokenizers[data]
 
 
 def prefix_table(buf: np.ndarray, bounds: np.ndarray, data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
