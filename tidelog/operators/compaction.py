@@ -139,3 +139,34 @@ def tier_reward(levels: DataFrame) -> DataFrame:
     """The deterministic part of a learned compaction choice, per level(level, bytes, runs, written, read): write and read amplification and their negated sum."""
     wa = F.when(F.col("bytes") > 0, F.col("written") / F.col("bytes")).otherwise(0.0)
     return levels.select("level", wa.alias("write_amp"), F.col("runs").cast("double").alias("read_amp"), (-(wa + F.col("runs"))).alias("reward"))
+
+
+def decide(rows: DataFrame, decision: Column, new_value: Column, until: Column) -> DataFrame:
+    """A filter with four decisions per row in key order: keep, remove, change (to new_value), skip (remove it and all keys below until)."""
+    v = rows.withColumns({"_decision": decision, "_new": new_value, "_until": F.when(decision == "skip", until)})
+    kept = skip_until(v, F.col("_until")).where("_decision <> 'remove'")
+    return kept.withColumn("value", F.when(F.col("_decision") == "change", F.col("_new")).otherwise(F.col("value"))).select(*rows.columns)
+
+
+def recover(log: DataFrame, verdict: Column) -> DataFrame:
+    """A filter on log batches during recovery: ignore drops a row's batch, stop ends at the first batch it names, corrupt fails, all else is kept."""
+    v = log.withColumn("_verdict", verdict)
+    end = v.where("_verdict = 'stop'").agg(F.min("seq").alias("_end"))
+    v = v.join(F.broadcast(end)).where("_end IS NULL OR seq < _end")  # one row
+    checked = F.when(F.col("_verdict") == "corrupt", F.raise_error(F.lit("corrupt record"))).otherwise(F.col("seq"))
+    return v.withColumn("seq", checked).where("_verdict IS NULL OR _verdict <> 'ignore'").select(*log.columns)
+
+
+def drop_buried(log: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """A full compaction applies range tombstones: versions that a newer one covers go, and so do the tombstones."""
+    from .ranges import buried
+
+    return log.join(buried(log, tombstones), ["key", "seq"], "left_anti")
+
+
+def merge_runs(runs: list[DataFrame]) -> DataFrame:
+    """Sorted runs as one, in key order and newest first."""
+    every = runs[0]
+    for r in runs[1:]:
+        every = every.unionByName(r)
+    return every.orderBy("key", F.col("seq").desc())

@@ -71,3 +71,25 @@ def operands(log: DataFrame, most: int, snapshot: Column | int | None = None) ->
     values = F.transform(F.filter(taken, lambda r: r["op"].isin("MERGE", "PUT")), lambda r: r["value"])
     g = g.select("key", values.alias("operands")).where("size(operands) > 0")
     return g.select("key", F.when(F.size("operands") > most, "Incomplete").otherwise("OK").alias("status"), F.when(F.size("operands") <= most, F.col("operands")).alias("operands"), F.size("operands").cast("long").alias("n"))
+
+
+def resolve_with(log: DataFrame, full_merge, value_type: str = "long") -> DataFrame:
+    """key, value by a user's full_merge(key, base or None, [operands, oldest first]) in Python, for folds that columns can't express.
+
+    Each key's visible operands meet in one task, as the fold's order demands."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        base, operands, live = None, [], False
+        for op, value in zip(*(pdf.sort_values("seq")[c].tolist() for c in ("op", "value"))):
+            if op == "MERGE":
+                operands.append(value)
+            else:
+                base, operands, live = (value if op == "PUT" else None), [], op == "PUT"
+        if not live and not operands:
+            return pd.DataFrame({"key": [], "value": []})
+        key = pdf["key"].iloc[0]
+        return pd.DataFrame({"key": [key], "value": [full_merge(key, base, operands) if operands else base]})
+
+    key_type = log.schema["key"].dataType.simpleString()
+    return log.groupBy("key").applyInPandas(run, f"key {key_type}, value {value_type}")
