@@ -111,3 +111,31 @@ def test_deadlocks(spark):
 def test_skip_until(spark):
     rows = spark.createDataFrame([(k, 6 if k == 3 else None) for k in range(10)], "key long, u long")
     assert sorted(r.key for r in compaction.skip_until(rows, F.col("u")).collect()) == [0, 1, 2, 6, 7, 8, 9]
+
+
+def test_filter_decisions(spark):
+    rows = spark.createDataFrame([(k, k) for k in range(12)], "key long, value long")
+    v = F.col("value")
+    decision = F.when(v == 2, "skip").when(v == 7, "remove").when(v == 9, "change").otherwise("keep")
+    got = compaction.decide(rows, decision, F.lit(90).cast("long"), F.col("key") + 3).collect()
+    assert sorted((r.key, r.value) for r in got) == [(0, 0), (1, 1), (5, 5), (6, 6), (8, 8), (9, 90), (10, 10), (11, 11)]
+
+
+def test_recovery_filter(spark):
+    log = log_of(spark, [(k, k, "PUT", k) for k in range(10)])
+    verdict = F.when(F.col("seq") == 6, "stop").when(F.col("seq") == 2, "ignore")
+    assert sorted(r.seq for r in compaction.recover(log, verdict).collect()) == [0, 1, 3, 4, 5]
+    with pytest.raises(Exception, match="corrupt record"):
+        compaction.recover(log, F.when(F.col("seq") == 3, "corrupt")).collect()
+
+
+def test_user_fold_in_order(spark):
+    rows = [(1, 1, "PUT", 5), (1, 3, "MERGE", 2), (1, 2, "MERGE", 7), (2, 1, "DELETE", None), (3, 9, "MERGE", 4)]
+    got = as_map(mvcc.resolve_with(log_of(spark, rows), lambda key, base, xs: int("".join(map(str, [base or 0, *xs])))))
+    assert got == {1: 572, 3: 4}
+
+
+def test_overlay_hides_and_replaces(spark):
+    base = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "key long, value long")
+    delta = log_of(spark, [(1, 1, "PUT", 11), (2, 2, "DELETE", None), (4, 3, "PUT", 40), (4, 4, "PUT", 41)])
+    assert as_map(overlay.overlay(base, delta)) == {1: 11, 3: 30, 4: 41}
