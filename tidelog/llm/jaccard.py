@@ -502,12 +502,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     bound_batches(spark)
     keyed = docs if {"_file", "_row"} <= set(docs.columns) else with_row_key(docs)
     names = list(dict.fromkeys([id_col, *carry, "_file", "_row"]))
-    parts = exchange_parts(spark, 0)
+    parts = exchange_parts(keyed)
     sets = _sets(keyed, names, text, parts)
     rows = sets.where("least is null").select(*names, "n", "cls")
     frequent = spark.sparkContext.broadcast(_frequent(sets, parts))  # CLASS_CELLS quarters of a byte at most
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    out_parts = exchange_parts(spark, total * (100 - PERCENT) // 100)
+    out_parts = exchange_parts(keyed, total * (100 - PERCENT) // 100)
     found = _candidates(keyed, text, parts, frequent, out_parts)
     pairs = cut(found.where("list is null").groupBy("a", "b").agg(F.min("salt").alias("salt")))
     members = cut(found.where("list is not null").select("list", "a", "code").distinct())

@@ -213,7 +213,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     kept = [c for c in docs.columns if c not in ("removed", "n_removed")]
     keyed = with_row_key(docs.select(*kept))
     integer = docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
-    parts = exchange_parts(spark, 0)
+    parts = exchange_parts(keyed)
     ranked = keyed.withColumn("_rank", F.col(id_col).cast("bigint") if integer else F.lit(None).cast("bigint"))
     lost = _lost_units(_occurrences(ranked, text, parts), parts)
     carry = [c for c in kept if c != text]

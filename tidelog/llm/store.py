@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.code import ship
 
 #: Rows in one Arrow batch handed to a Python worker; bounds worker memory.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 #: Bytes that may be broadcast or collected; beyond it operators work in blocks.
 BROADCAST_BYTES = 32 << 20
 
@@ -74,6 +74,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def exchange_parts(spark: SparkSession, values: int, per_part: int = 2_000_000) -> int:
-    """Partitions for an exchange of so many fixed-width values."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-values // per_part))
+#: Input bytes that one exchange partition stands for, and the most partitions.
+PART_BYTES, MAX_PARTS = 64 << 20, 50_000
+
+
+def exchange_parts(df: DataFrame, values: int = 0, per_part: int = 2_000_000) -> int:
+    """Partitions for an exchange of what is derived from df: Spark's own number, and more where the input's size or so many fixed-width values ask for it."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(least, -(-values // per_part), -(-min(size, 1 << 60) // PART_BYTES)), max(least, MAX_PARTS))
