@@ -37,7 +37,7 @@ _STATES, _CLASSES = 8, 9
 #: A code point beyond Unicode that stands between texts.
 _EDGE_POINT = 0x110000
 #: Pieces kept in a worker's cache, and the longest that is kept.
-CACHE_PIECES, CACHE_BYTES = 600_000, 64
+CACHE_PIECES, CACHE_BYTES = 150_000, 64
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from .store import bound_batches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a worker for each core
 #: Chunks kept in a worker's cache, and the longest that is kept.
-CACHE_CHUNKS, CACHE_BYTES = 600_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 200_000, 64
 #: Special strings hold no white space, so each lies in one chunk.
 _tokenizers: dict[bytes, "ChunkCounts"] = {}
 

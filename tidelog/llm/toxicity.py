@@ -151,11 +151,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """Fit on the bounded sample of labelled rows; labels must hold no held-out rows."""
     wanted = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label).alias("_y"))
     sample = wanted.orderBy(F.xxhash64(id_col), id_col, "_y").limit(SAMPLE_ROWS)
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(F.col(id_col), F.col(text)).join(F.broadcast(sample), id_col)  # SAMPLE_ROWS small rows
-    table = rows.orderBy(F.xxhash64(id_col), id_col, text).limit(SAMPLE_ROWS).toArrow()
-    if not table.num_rows:
+    ordered = rows.orderBy(F.xxhash64(id_col), id_col, text).limit(SAMPLE_ROWS).select(text, "_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("_y", pa.int32())]))
+        model = fit(table.column(0).combine_chunks(), table.column(1).to_numpy() > 0)
+        constant = pa.array([model.constant], pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([model.terms.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias]), constant], names=["terms", "weights", "bias", "constant"])
+
+    # The sample is one partition, so one task fits the model and the driver only gets that; no partition at all means no labelled row.
+    made = ordered.withColumn("_y", F.col("_y").cast("int")).mapInArrow(run, "terms binary, weights binary, bias double, constant double").collect()
+    if not made:
         return fit(pa.array([], pa.string()), np.zeros(0))
-    return fit(table.column(text).combine_chunks(), table.column("_y").to_numpy() > 0)
+    return Model(np.frombuffer(made[0].terms, np.uint64), np.frombuffer(made[0].weights, np.float64), made[0].bias, made[0].constant)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
