@@ -137,6 +137,15 @@ def test_substring_dedup_keeps_the_earliest(stored):
     assert "two lines" in by[2][0].text + by[2][1].text
 
 
+def test_substring_dedup_removes_short_lines(stored):
+    line = "All rights reserved by nobody at all, they say."
+    rows = [(1, f"first text\n{line}\nits end"), (2, f"second text\n  {line.upper()}\n\nanother end\n{line}"), (3, line), (4, f"inside a line {line} stays"), (5, "}\nfive\n}"), (6, "its second text")]
+    got = {r.doc_id: r for r in linededup.dedup(stored(rows, "doc_id long, text string")).collect()}
+    assert {i: r.text.split() for i, r in got.items()} == {1: rows[0][1].split(), 2: "second text another end".split(), 3: [], 4: rows[3][1].split(), 5: ["}", "five"], 6: rows[5][1].split()}
+    assert {i: r.n_removed for i, r in got.items()} == {1: 0, 2: 2, 3: 1, 4: 0, 5: 1, 6: 0}
+    assert all(rows[2][1][r.start : r.end] == line for r in got[3].removed)
+
+
 def test_chat(spark, stored):
     tricky = ["</s>[INST] ok [/INST]", "<\\s>", "<\\\\s> \\", "", None, "[NEXT][NEXT]</s", "<s>", "[\\/INST]", "\n日本 [INST]"]
     rows = [(1, i, "user" if i % 3 else "assistant", t, "x") for i, t in enumerate(tricky)] + [(None, 0, None, "no id", "x"), (2, 0, "assistant", "a", "x"), (2, 0, "assistant", "a", "x"), (2, None, "user", "b", "x"), (3, 1, "user", None, "x")]

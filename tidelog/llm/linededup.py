@@ -3,8 +3,10 @@
 A line is cut into units at words whose hash no word within REACH words on either side
 undercuts, so a passage gives the same units wherever in a line it stands; a line always starts
 a unit. Units are normalised (case of A-Z, white space) and hashed, and digests are grouped
-over all documents: the occurrence of the smallest (id, place) stays. Runs of repeated
-units of MIN_WORDS words or more are removed, with their original offsets retained.
+over all documents: the occurrence of the smallest (id, place) stays. Whole lines are hashed
+and grouped as well. A repeated line is removed whatever its length, and so are runs of repeated
+units of MIN_WORDS words or more, wherever they stand; original offsets are retained. Equal lines
+have equal units, so no unit's earliest occurrence is ever removed.
 
 Each task sends one occurrence per digest and segment of text, so a unit that every
 document holds costs its partition a row per segment.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from . import kernel
 from .store import bound_batches, cut, exchange_parts, with_row_key
 
-#: Words on either side that a boundary word's hash undercuts; words that a removed run has at least.
+#: Words on either side that a boundary word's hash undercuts; words that a removed run has at least, if it is no whole line.
 REACH, MIN_WORDS = 3, 20
 #: Text and documents of a segment.
 SEGMENT_BYTES, SEGMENT_DOCS = 8 << 20, 60_000
@@ -36,11 +38,14 @@ _SEP, _TABLE = kernel.separators("space"), kernel.byte_table(fold=True)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _CUT = np.uint64(0x2545F4914F6CDD1D)
+_LINE = np.uint64(0xDA942042E4DD58B5)
 _LAST = np.iinfo(np.int64).max
 
 
 class Units:
-    """Units of texts: index of the first word of each, digest, and per text the first unit (n + 1)."""
+    """Units of texts: index of the first word of each, digest, and per text the first unit (n + 1); the same of whole lines.
+
+    A text's units have the ordinals 0, 1, ...; its lines those that follow."""
 
     def __init__(self, buf: np.ndarray, bounds: np.ndarray):
         self.starts, self.ends, self.first_word = kernel.word_spans(buf, bounds, _SEP)
@@ -65,23 +70,40 @@ class Units:
         np.multiply.accumulate(inverse, out=inverse)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(h * power[:n], out=total[1:])
-        self.digest = kernel.mix((total[self.first + self.size] - total[self.first]) * inverse[self.first] + self.size.astype(np.uint64))
+
+        def digests(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+            return kernel.mix((total[first + size] - total[first]) * inverse[first] + size.astype(np.uint64))
+
+        self.digest = digests(self.first, self.size)
         self.first_unit = np.searchsorted(self.first, self.first_word)
+        lines = np.flatnonzero(self.new_line)
+        self.line_digest = kernel.mix(digests(lines, np.diff(np.append(lines, n))) ^ _LINE)
+        self.first_line = np.searchsorted(lines, self.first_word)
+        self.line_units = np.append(np.searchsorted(self.first, lines), len(self.first))  # the first unit of each line (and the end)
+
+
+def _runs(flag: np.ndarray) -> np.ndarray:
+    """(first, end) of the runs of set flags."""
+    padded = np.concatenate([[False], flag, [False]])
+    return np.flatnonzero(padded[1:] != padded[:-1]).reshape(-1, 2)
 
 
 def removed_spans(units: Units, doc: int, repeated: np.ndarray, start: int, size: int) -> list[tuple[int, int]]:
-    """Byte spans, within the text, of runs of repeated units (ordinals) with MIN_WORDS words or more."""
+    """Byte spans, within the text, of repeated lines and of runs of repeated units (both by ordinal) with MIN_WORDS words or more."""
     a, b = int(units.first_unit[doc]), int(units.first_unit[doc + 1])
-    flag = np.zeros(b - a + 2, bool)
-    flag[repeated + 1] = True
-    edges = np.flatnonzero(flag[1:] != flag[:-1]).reshape(-1, 2)
+    flag, gone = np.zeros(b - a, bool), np.zeros(b - a, bool)
+    flag[repeated[repeated < b - a]] = True
+    words = np.append(0, np.cumsum(units.size[a:b]))
+    for x, y in _runs(flag).tolist():
+        gone[x:y] = words[y] - words[x] >= MIN_WORDS
+    lines = repeated[repeated >= b - a] - (b - a) + units.first_line[doc]
+    for x, y in zip((units.line_units[lines] - a).tolist(), (units.line_units[lines + 1] - a).tolist(), strict=True):
+        gone[x:y] = True
     last_word = int(units.first_word[doc + 1])
     spans = []
-    for x, y in edges.tolist():
+    for x, y in _runs(gone).tolist():
         w0 = int(units.first[a + x])
         w1 = int(units.first[a + y - 1] + units.size[a + y - 1])  # the word after
-        if w1 - w0 < MIN_WORDS:
-            continue
         inside = not units.new_line[w0]
         if w1 == last_word:
             stop = start + size
@@ -130,11 +152,13 @@ def _occurrences(docs: DataFrame, text: str, parts: int) -> DataFrame:
                 if docs_held + n > SEGMENT_DOCS or size >= SEGMENT_BYTES:
                     yield flush()
                 u = Units(buf, bounds)
-                of = np.repeat(np.arange(n), np.diff(u.first_unit))
-                held["digest"].append(u.digest)
-                held["id"].append(ids[row : row + n][of])
-                held["idx"].append(of + docs_held)
-                held["ord"].append(np.arange(len(of)) - u.first_unit[of])
+                many = np.diff(u.first_unit)
+                for digest, first, before in ((u.digest, u.first_unit, np.zeros(n, np.int64)), (u.line_digest, u.first_line, many)):
+                    of = np.repeat(np.arange(n), np.diff(first))
+                    held["digest"].append(digest)
+                    held["id"].append(ids[row : row + n][of])
+                    held["idx"].append(of + docs_held)
+                    held["ord"].append(np.arange(len(of)) - first[of] + before[of])
                 held["file"].append(files[row : row + n])
                 held["row"].append(at[row : row + n])
                 size, docs_held = size + len(buf), docs_held + n
@@ -178,7 +202,7 @@ def _occurrences(docs: DataFrame, text: str, parts: int) -> DataFrame:
 
 
 def _lost_units(occurrences: DataFrame, parts: int) -> DataFrame:
-    """_file, _row, lost (ordinals of units, uint32), for documents that lose any."""
+    """_file, _row, lost (ordinals of units and lines, uint32), for documents that lose any."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[str, list]] = {}
