@@ -254,6 +254,13 @@ def test_jaccard_groups_of_copies(stored, monkeypatch, short, block, share):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_jaccard_of_very_long_texts(stored):
+    words = [f"v{i}" for i in range(310_000)]
+    rows = [(2, " ".join(words)), (1, " ".join(words[:-5000])), (3, " ".join(words[:200_000]))]
+    got = jaccard.link_components(stored(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {2: (309_996, 1), 1: (304_996, 1), 3: (199_996, 3)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(50)] + [(100, 200), (200, 300), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in graph.components(links).collect()}

@@ -222,7 +222,7 @@ def _candidates(docs: DataFrame, text: str, parts: int, frequent, out_parts: int
             token = np.concatenate([t for t, _, _ in held])
             many = [len(t) for t, _, _ in held]
             cls = np.repeat(np.array([c for _, c, _ in held], np.int64), many)
-            code = np.repeat(np.array([c for _, _, c in held], np.uint8), many)
+            code = np.repeat(np.array([c for _, _, c in held], np.uint16), many)
             rows = list(kernel.scatter((token % np.uint64(out_parts)).astype(np.int64), out_parts, {"token": (token >> np.uint64(32)).astype(np.uint32), "cls": cls, "code": code}))
             held.clear()
             seen.clear()
@@ -249,7 +249,7 @@ def _candidates(docs: DataFrame, text: str, parts: int, frequent, out_parts: int
         for batch in batches:
             for i in range(batch.num_rows):
                 p, t, c, z = (batch.column(k)[i].as_py() for k in range(4))
-                held.setdefault(p, []).append((np.frombuffer(t, np.uint32), np.frombuffer(c, np.int64), np.frombuffer(z, np.uint8)))
+                held.setdefault(p, []).append((np.frombuffer(t, np.uint32), np.frombuffer(c, np.int64), np.frombuffer(z, np.uint16)))
         for blobs in held.values():
             yield from _pairs_of(*(np.concatenate(x) for x in zip(*blobs, strict=True)))
 
