@@ -115,6 +115,22 @@ def test_toxicity_finds_the_sentence(stored):
     assert sum("dreadful" in r.sentence for r in found) > 0.95 * len(found)
 
 
+def test_toxicity_of_very_long_texts(stored):
+    from compare import connect
+
+    sf = "/root/testdata/sf0.1"
+    rows = connect(sf).execute("SELECT doc_id, text, toxic FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL AND text IS NOT NULL ORDER BY doc_id").fetchall()
+    docs = stored([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, stored([(i, y) for i, _, y in rows], "doc_id long, toxic int", "labels").where(~toxicity.held_out()))
+    score = {r.doc_id: r.score for r in toxicity.score(docs, model).where(toxicity.held_out()).collect()}
+    clean = [t for i, t, y in rows if i in score and not y and score[i] < 0.5]
+    bad = next(t for i, t, y in rows if y and score.get(i, 0) > 0.9)
+    long = [(1, "\n".join(clean)), (2, "\n".join(clean * 5)), (3, "\n".join([*clean, bad, *clean]))]
+    assert len(long[0][1]) > 1_000_000
+    got = {r.doc_id: r.score for r in toxicity.score(stored(long, "doc_id long, text string"), model).collect()}
+    assert got[1] < 0.5 and got[2] < 0.5 and got[3] > 0.9
+
+
 def test_substring_dedup(awkward, nothing):
     got = linededup.dedup(awkward).collect()
     assert len(got) == 10 and set(awkward.columns) <= set(got[0].asDict())

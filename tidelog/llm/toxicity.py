@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is logistic in its distinct
-words and their beginnings (PREFIX bytes, so that inflected forms share a feature); the document's is their noisy-or, 1 - prod(1 - p). Word weights are trained from
+words and their beginnings (PREFIX bytes, so that inflected forms share a feature); the document's is their noisy-or, 1 - prod(1 - p).
+A text of more sentences than a window (the WINDOW quantile of the sampled documents' numbers) scores as its
+most offending window, as the sentences' background alone would add up in a long clean text. Windows overlap by half. Word weights are trained from
 document labels only, on a bounded sample of labelled rows, and then score every sentence
 of every document, so the offending sentences are located without sentence labels.
 
@@ -31,6 +33,8 @@ SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY = 8_000, 32_768, 50_000
 #: Training steps and their size, the weights' penalty over the root of the sample's size; a feature must stand in so many sampled documents.
 STEPS, RATE, L1, MIN_DOCS = 300, 0.05, 3e-3, 4
 PREFIX = 6
+#: Of the sampled documents, the share that has no more sentences than a window.
+WINDOW = 0.95
 
 _SEP, _TABLE = kernel.separators("alnum"), kernel.byte_table(fold=True)
 _STOP = np.zeros(256, bool)
@@ -43,6 +47,7 @@ class Model:
     weights: np.ndarray
     bias: float
     constant: float | None = None  # every document's score, where nothing could be learnt
+    window: int = 1  # sentences that are scored together
 
     def weight_of(self, h: np.ndarray) -> np.ndarray:
         if not len(self.terms):
@@ -90,9 +95,18 @@ def sentence_logits(b: Bags, model: Model) -> np.ndarray:
     return model.bias + np.bincount(b.sentence, model.weight_of(b.words), len(b.doc))
 
 
-def noisy_or(b: Bags, logits: np.ndarray) -> np.ndarray:
-    """1 - prod(1 - p) of each document's sentences, by sums of log(1 - p)."""
-    return -np.expm1(-np.bincount(b.doc, np.logaddexp(0, logits), b.n_docs))
+def noisy_or(b: Bags, logits: np.ndarray, window: int) -> np.ndarray:
+    """1 - prod(1 - p) of the sentences of each document's highest window, by sums of log(1 - p)."""
+    order = np.argsort(b.doc, kind="stable")
+    doc, parts = b.doc[order], np.logaddexp(0, logits)[order]
+    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    best = np.zeros(b.n_docs)
+    for shift in (0, window // 2):
+        k = (place + shift) // window
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]))[: len(doc)])
+        if len(first):
+            np.maximum.at(best, doc[first], np.add.reduceat(parts, first))
+    return -np.expm1(-best)
 
 
 def fit(texts: pa.Array, labels: np.ndarray) -> Model:
@@ -144,7 +158,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         size = RATE / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= size * (m / (1 - 0.9**step))
         w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - np.minimum(size[:-1] * penalty, RATE))  # few words matter
-    return Model(terms, w[:-1], float(w[-1]))
+    return Model(terms, w[:-1], float(w[-1]), window=max(1, int(np.quantile(per_doc, WINDOW))))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -159,13 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         table = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("_y", pa.int32())]))
         model = fit(table.column(0).combine_chunks(), table.column(1).to_numpy() > 0)
         constant = pa.array([model.constant], pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array([model.terms.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias]), constant], names=["terms", "weights", "bias", "constant"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.terms.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias]), constant, pa.array([model.window], pa.int64())], names=["terms", "weights", "bias", "constant", "size"])
 
     # The sample is one partition, so one task fits the model and the driver only gets that; no partition at all means no labelled row.
-    made = ordered.withColumn("_y", F.col("_y").cast("int")).mapInArrow(run, "terms binary, weights binary, bias double, constant double").collect()
+    made = ordered.withColumn("_y", F.col("_y").cast("int")).mapInArrow(run, "terms binary, weights binary, bias double, constant double, size bigint").collect()
     if not made:
         return fit(pa.array([], pa.string()), np.zeros(0))
-    return Model(np.frombuffer(made[0].terms, np.uint64), np.frombuffer(made[0].weights, np.float64), made[0].bias, made[0].constant)
+    return Model(np.frombuffer(made[0].terms, np.uint64), np.frombuffer(made[0].weights, np.float64), made[0].bias, made[0].constant, made[0]["size"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -184,7 +198,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
             for _, buf, bounds in kernel.chunks(batch.column(at)):
                 b = bags(buf, bounds)
                 constant = shared.value.constant
-                parts.append(noisy_or(b, sentence_logits(b, shared.value)) if constant is None else np.full(b.n_docs, constant))
+                parts.append(noisy_or(b, sentence_logits(b, shared.value), shared.value.window) if constant is None else np.full(b.n_docs, constant))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(parts))], names=[*keep, "score"])
 
     return docs.select(*sent).mapInArrow(run, schema)
