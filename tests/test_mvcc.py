@@ -108,6 +108,13 @@ def test_deadlocks(spark):
     assert sorted(r.txn for r in overlay.deadlocked(waits).collect()) == [1, 2, 3, 5]
 
 
+def test_deadlocks_on_long_cycles(spark):
+    waits = spark.createDataFrame([(i, (i + 1) % 150) for i in range(150)] + [(150 + i, 149 + i) for i in range(30)], "waiter long, holder long")
+    assert sorted(r.txn for r in overlay.deadlocked(waits).collect()) == list(range(150))
+    with pytest.raises(RuntimeError):
+        overlay.deadlocked(waits, most=3)
+
+
 def test_skip_until(spark):
     rows = spark.createDataFrame([(k, 6 if k == 3 else None) for k in range(10)], "key long, u long")
     assert sorted(r.key for r in compaction.skip_until(rows, F.col("u")).collect()) == [0, 1, 2, 6, 7, 8, 9]
