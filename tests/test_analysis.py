@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import scalars, stats
-from tidelog.operators import advisor, blocks, ordering, simulate, workload
+from tidelog.operators import advisor, blocks, ordering, simulate, trace, workload
 from tidelog.sources import formats
 from tidelog.sources.scratch import new_path
 
@@ -107,3 +107,10 @@ def test_zipfian_is_skewed_and_repeatable(spark):
     a = workload.zipfian(spark, 5000, 100)
     assert a.groupBy("key").count().orderBy(F.col("count").desc()).first()["key"] == 0
     assert a.agg(F.sum("key")).first() == workload.zipfian(spark, 5000, 100).agg(F.sum("key")).first()
+
+
+def test_correlation_fails_on_too_many_types(spark):
+    rows = spark.range(65).selectExpr("concat('t', id) AS type", "0 AS cf", "1 AS key", "id AS us", "id AS seq")
+    with pytest.raises(ValueError, match="operation types"):
+        trace.correlation(rows)
+    assert trace.correlation(rows.where("seq < 64")).count() == 64 * 63 // 2

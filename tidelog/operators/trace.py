@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .ordering import positions
 
 BY = ["type", "cf"]
+#: Operation types that correlation takes (each is a column there); more are an error.
+MOST_TYPES = 64
 
 
 def sampled(trace: DataFrame, every: int) -> DataFrame:
@@ -105,7 +107,9 @@ def unique_growth(trace: DataFrame, seconds: int) -> DataFrame:
 
 def correlation(trace: DataFrame) -> DataFrame:
     """For types X then Y on one key: how often, and the mean gap between the latest X and a Y (equal times are skipped)."""
-    types = [r[0] for r in trace.select("type").distinct().orderBy("type").limit(64).collect()]  # the operation types, eight in all
+    types = [r[0] for r in trace.select("type").distinct().orderBy("type").limit(MOST_TYPES + 1).collect()]  # the operation types, eight in all
+    if len(types) > MOST_TYPES:
+        raise ValueError(f"a trace of more than {MOST_TYPES} operation types")
     before = Window.partitionBy("cf", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     seen = trace.withColumns({f"_at_{i}": F.max(F.when(F.col("type") == t, F.col("us"))).over(before) for i, t in enumerate(types)})
     pairs = F.array(*(F.struct(F.lit(t).alias("first_type"), F.col(f"_at_{i}").alias("at")) for i, t in enumerate(types)))
