@@ -60,26 +60,27 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
 def read_back(formatted: Column) -> Column:
     """The turns, array<struct<role,text>>, from the formatted string alone."""
-    blocks = F.split(F.substring(formatted, 4, 1 << 30), "</s>")
+    blocks = F.split(F.substr(formatted, F.lit(4)), "</s>")
     blocks = F.slice(blocks, 1, F.size(blocks) - 1)
 
     def turns(block: Column) -> Column:
-        parts = F.split(F.substring(block, 7, 1 << 30), r"\[/INST\]")
+        parts = F.split(F.substr(block, F.lit(7)), r"\[/INST\]")
         return F.transform(F.split(F.get(parts, 1), r"\[NEXT\]"), lambda t: F.struct(unescape(F.get(parts, 0)).alias("role"), unescape(t).alias("text")))
 
     return F.flatten(F.transform(blocks, turns))
 
 
 def loss_text(formatted: Column, loss_runs: Column) -> Column:
-    """All text under the mask, unescaped. The mask's runs of text lie between control strings in the order of the string."""
+    """All text under the mask, unescaped; a mask that is not of this string is an error. The mask's runs of text lie between control strings in the order of the string."""
     between = F.split(formatted, r"<s>|</s>|\[/?INST\]|\[NEXT\]")
     # A turn's three runs (head, text, tail) lie at 3k, 3k+1, 3k+2; the string's pieces between control strings
     # hold nothing, roles and texts, the texts being those after [/INST] or [NEXT].
     before = F.concat(F.array(F.lit("")), F.regexp_extract_all(formatted, F.lit(r"<s>|</s>|\[/?INST\]|\[NEXT\]"), 0))
     texts = F.filter(F.arrays_zip(before.alias("b"), between.alias("t")), lambda x: x["b"].isin("[/INST]", "[NEXT]"))
     runs = F.filter(loss_runs, lambda r, i: i % 3 == 1)
-    taken = F.filter(F.zip_with(texts, runs, lambda t, r: F.struct(F.when(r["in_loss"] & (F.length(t["t"]) == r["n_chars"]), t["t"]).alias("t"))), lambda x: x["t"].isNotNull())
-    return F.array_join(F.transform(taken, lambda x: unescape(x["t"])), "")
+    disagree = F.raise_error(F.lit("the loss mask is not of this string")).cast("string")
+    taken = F.zip_with(texts, runs, lambda t, r: F.when(t["t"].isNull() | r.isNull() | (F.length(t["t"]) != r["n_chars"]), disagree).when(r["in_loss"], unescape(t["t"])).otherwise(""))
+    return F.array_join(taken, "")
 
 
 def digest(formatted: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ phrase is looked up in every segment by itself: its terms' lists are shifted by
 offsets and intersected, rarest list first, so no postings move between tasks. Documents
 are kept apart by one position that no term holds. Proximity matches work on the same lists.
 
-Benchmark texts are broadcast while they are under ITEM_BYTES; beyond it the index holds
-all terms and the items are looked up block by block.
+The index holds every word of the texts and is stored once; benchmark items are looked up in it block by block, each
+block of at most ITEM_BYTES of text being broadcast.
 
 Defined results: a null or empty text has no words, no hits and is clean; repeated rows are
 judged each; items without words or with a null id match nothing, items with one id count
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .store import bound_batches, cut, with_row_key
+from .store import bound_batches, cut, unpacked, with_row_key
 
 #: Words of a window.
 WINDOW = 13
@@ -75,11 +75,9 @@ def hashes_of(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store the positional index: of the given terms (sorted hashes, of checked size), or of all."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    known = spark.sparkContext.broadcast(terms)
+def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Store the positional index of all words."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -111,10 +109,6 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str =
                 h = kernel.word_hashes(buf, starts, ends, _TABLE)
                 n = np.diff(first)
                 at = base + np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
-                if known.value is not None:
-                    k = np.minimum(np.searchsorted(known.value, h), max(0, len(known.value) - 1))
-                    keep = known.value[k] == h if len(known.value) else np.zeros(len(h), bool)
-                    h, at = h[keep], at[keep]
                 held["ids"] += ids[row : row + len(n)]
                 for key, value in (("n", n), ("term", h), ("at", at)):
                     held[key].append(value)
@@ -167,9 +161,6 @@ class Phrases:
                 owners.setdefault(length, {}).setdefault(h[i : i + length].tobytes(), set()).add(item)
         self.by_length = {n: (np.frombuffer(b"".join(found), np.uint64).reshape(-1, n), [sorted(x) for x in found.values()]) for n, found in owners.items()}
 
-    def terms(self) -> np.ndarray:
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(m.ravel() for m, _ in self.by_length.values())]))
-
 
 def _matches(index: DataFrame, phrases: Phrases, all_docs: bool) -> DataFrame:
     """Per document with a match (or per document): segment, ord, doc_id, n_words, items, from and to (the hit word ranges)."""
@@ -235,11 +226,10 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     whole = F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id")
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     blocks = -(-size // ITEM_BYTES)
+    index = build_index(docs, id_col, text)
     if blocks <= 1:
-        phrases = Phrases(_items(benchmark, item_col, item_text))
-        found = _matches(build_index(docs, phrases.terms(), id_col, text), phrases, True)
+        found = _matches(index, Phrases(_items(benchmark, item_col, item_text)), True)
         return found.mapInArrow(_verdicts, _VERDICT).withColumn("doc_id", whole)
-    index = build_index(docs, None, id_col, text)
     parts = []
     for b in range(2 * blocks):  # hash blocks of about half the bound
         own = benchmark.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(2 * blocks)) == b)
@@ -303,11 +293,13 @@ def _shortest(near: list[tuple[int, int]], terms: int, slop: int) -> tuple[int,
     return best
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, each physical row judged by itself."""
-    keyed = with_row_key(docs).withColumn("_key", F.concat_ws(":", "_file", "_row"))
-    bad = judge(keyed, benchmark, "_key").where("contaminated").select(F.col("doc_id").alias("_key"))
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that are not contaminated, each physical row judged by itself, with all their columns as they are."""
+    keyed = with_row_key(docs)
+    judged = keyed.select(F.concat_ws(":", "_file", "_row").alias("key"), F.col("_doc").getField(text).alias("text"))
+    bad = judge(judged, benchmark, "key").where("contaminated").select(F.split("doc_id", ":").alias("k"))
+    bad = bad.select(F.col("k")[0].cast("long").alias("_file"), F.col("k")[1].cast("long").alias("_row"))
+    return keyed.join(bad, ["_file", "_row"], "left_anti").select(*unpacked(docs.columns))
 
 
 ORACLE = r"""

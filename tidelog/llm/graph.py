@@ -1,32 +1,47 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Each step hangs neighbours on the smallest node known; minima are pre-aggregated, so a hub
-costs no more than its links. The link table is rewritten to the shared folder each round
-and its number of rounds grows with the logarithm of the longest chain.
+Each step hangs neighbours on the smallest node known. A node's minimum is taken, and met with its
+links, in cells of (node, hash of the neighbour), so a hub's links are dealt to SALTS tasks. The link
+table is rewritten to the shared folder each round and its number of rounds grows with the
+logarithm of the longest chain.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut
 
 MAX_ROUNDS = 60
+#: Cells that one node's links are dealt to.
+SALTS = 64
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: str, by: Column) -> DataFrame:
+    """big joined with small, which has a row per key: a hot key's rows of big are dealt to SALTS cells by the hash of `by`."""
+    dealt = big.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return dealt.join(small.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [on, "_s"]).drop("_s")
+
+
+def _with_least(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links with m, the least v of their u; and (u, m) itself."""
+    dealt = links.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("s"))
+    cells = dealt.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = cells.groupBy("u").agg(F.min("m").alias("m"))
+    return dealt.join(cells.select("u", "s").join(least, "u"), ["u", "s"]).select("u", "v", "m"), least
 
 
 def _large(links: DataFrame) -> DataFrame:
     """Hang each node's larger neighbours on its smallest neighbour (itself included)."""
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both)[0].where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Hang each node and its smaller neighbours on the smallest of them (links go from larger to smaller)."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    met, least = _with_least(links)
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

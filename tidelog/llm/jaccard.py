@@ -30,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .graph import components
-from .store import bound_batches, cut, exchange_parts, with_row_key
+from .graph import components, spread_join
+from .store import bound_batches, cut, exchange_parts, schema_of, unpacked, with_row_key
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 80
@@ -118,19 +118,17 @@ def _size_code(n: int) -> int:
 SIZE_BAND = int(np.log(100 / PERCENT) / np.log(1.05)) + 1
 
 
-def _type(df: DataFrame, c: str) -> str:
-    return df.schema[c].dataType.simpleString()
-
-
 def _sets(docs: DataFrame, carry: list[str], text: str, parts: int) -> DataFrame:
     """Rows of documents (carry, n, cls; least null) and, exchanged by cell, a part's map (p, blob) of its tokens' frequency classes."""
-    schema = ", ".join([*(f"`{c}` {_type(docs, c)}" for c in carry), "n bigint, cls bigint, least bigint, p int, blob binary"])
+    schema = schema_of([docs.schema[c] for c in carry], "n bigint, cls bigint, least bigint, p int, blob binary")
     kinds = pa.schema([("n", pa.int64()), ("cls", pa.int64()), ("least", pa.int64()), ("p", pa.int32()), ("blob", pa.binary())])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held: list[np.ndarray] = []
         seen: set[int] = set()
-        size = spread = 0
+        size, spread = 0, 7919 * TaskContext.get().partitionId()
         types = None
 
         def flush() -> pa.RecordBatch:
@@ -162,7 +160,7 @@ def _sets(docs: DataFrame, carry: list[str], text: str, parts: int) -> DataFrame
                 size += len(buf)
                 if size >= GATHER_BYTES and held:
                     yield flush()
-            spread += 1
+            spread += len(n)
             none = pa.nulls(len(n), pa.int64())
             p = (np.arange(len(n)) + spread) % parts
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none, pa.array(p.astype(np.int32)), pa.nulls(len(n), pa.binary())], names=[*carry, *kinds.names])
@@ -196,7 +194,7 @@ def _sets(docs: DataFrame, carry: list[str], text: str, parts: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types), none, none, pa.array([0]), pa.array([p], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=[*carry, *kinds.names])
 
     sent = docs.select(*carry, F.col(text)).mapInArrow(tokens, schema)
-    return cut(sent.repartition(parts, "p").mapInArrow(count, schema))
+    return cut(sent.repartitionById(parts, "p").mapInArrow(count, schema))
 
 
 def _frequent(sets: DataFrame, parts: int) -> np.ndarray:
@@ -254,7 +252,7 @@ def _candidates(docs: DataFrame, text: str, parts: int, frequent, out_parts: int
             yield from _pairs_of(*(np.concatenate(x) for x in zip(*blobs, strict=True)))
 
     sent = docs.select(F.col(text)).mapInArrow(tokens, "p int, token binary, cls binary, code binary")
-    return cut(sent.repartition(out_parts, "p").mapInArrow(pairs, "list bigint, a bigint, b bigint, salt int, code int"))
+    return cut(sent.repartitionById(out_parts, "p").mapInArrow(pairs, "list bigint, a bigint, b bigint, salt int, code int"))
 
 
 _PAIR = pa.schema([("list", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("salt", pa.int32()), ("code", pa.int32())])
@@ -332,7 +330,7 @@ def _bitmap(rows: DataFrame, n: int, parts: int) -> tuple[int, np.ndarray]:
 
 
 def _blobs(docs: DataFrame, text: str, parts: int, frequent, bits: int, bitmap: np.ndarray) -> DataFrame:
-    """cls, n, tokens (48 bits each, sorted), orders (which tokens are in the prefixes of the further orders), of the candidate rows."""
+    """cls, tokens (48 bits each, sorted), prefixes (32 bits of each token of the further orders' prefixes), of the candidate rows."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # BITMAP_BITS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,14 +343,12 @@ def _blobs(docs: DataFrame, text: str, parts: int, frequent, bits: int, bitmap:
                     if not len(s):
                         continue
                     k, rare = prefix_length(len(s)), _classes(s, parts, frequent.value)
-                    marks = []
-                    for order in range(1, ORDERS):
-                        keys = order_keys(s, rare, order)
-                        marks.append(np.packbits(keys <= np.partition(keys, k - 1)[k - 1]))
-                    rows.append((class_of(s), pack(s), np.concatenate(marks).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["cls", "tokens", "orders"])
+                    keys = [order_keys(s, rare, order) for order in range(1, ORDERS)]
+                    heads = [np.sort(s[np.argpartition(x, k - 1)[:k]] if k < len(s) else s) >> np.uint64(32) for x in keys]
+                    rows.append((class_of(s), pack(s), np.concatenate(heads).astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["cls", "tokens", "prefixes"])
 
-    return cut(docs.select(F.pmod(F.xxhash64("_file", "_row"), F.lit(bits)).cast("long"), F.col(text)).mapInArrow(run, "cls bigint, tokens binary, orders binary"))
+    return cut(docs.select(F.pmod(F.xxhash64("_file", "_row"), F.lit(bits)).cast("long"), F.col(text)).mapInArrow(run, "cls bigint, tokens binary, prefixes binary"))
 
 
 def pack(tokens: np.ndarray) -> bytes:
@@ -373,37 +369,39 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _verify(pairs: DataFrame, blobs: DataFrame, parts: int) -> DataFrame:
-    """The links (u, v) among pairs (a, b, salt). A cell (a, salt) gets a's set once and those of its partners."""
+def _meet(pairs: DataFrame, blobs: DataFrame, blob: str, parts: int, keep, unpacked_blob) -> DataFrame:
+    """a, b, salt of the pairs (a, b, salt) whose blobs keep() accepts. A cell (a, salt) gets a's blob once and those of its partners."""
     cells = pairs.select("a", "salt", F.col("b").alias("cls")).union(pairs.select("a", "salt", F.col("a").alias("cls")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], dict[int, tuple[bytes, bytes]]] = {}
+        held: dict[tuple[int, int], dict[int, bytes]] = {}
         for batch in batches:
             a, salt, cls = (batch.column(i).to_pylist() for i in range(3))
             for k in range(batch.num_rows):
-                held.setdefault((a[k], salt[k]), {})[cls[k]] = (batch.column(3)[k].as_py(), batch.column(4)[k].as_py())
-        u, v = [], []
+                held.setdefault((a[k], salt[k]), {})[cls[k]] = batch.column(3)[k].as_py()
+        found: list[tuple[int, int, int]] = []
         while held:
-            (hub, _), members = held.popitem()
-            own = unpack(members[hub][0])
-            prefixes = _prefixes(own, members[hub][1])
-            for other, (tokens, orders) in members.items():
-                if other == hub:
-                    continue
-                theirs = unpack(tokens)
-                if all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(prefixes, _prefixes(theirs, orders), strict=True)) and similar(own, theirs):
-                    u.append(hub)
-                    v.append(other)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            (hub, salt), members = held.popitem()
+            own = unpacked_blob(members.pop(hub))
+            found += [(hub, other, salt) for other, theirs in members.items() if keep(own, unpacked_blob(theirs))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "salt"])
 
-    joined = cells.join(blobs, "cls").select("a", "salt", "cls", "tokens", "orders")
-    return cut(joined.repartition(parts, "a", "salt").mapInArrow(run, "u bigint, v bigint"))
+    joined = cells.join(blobs.select("cls", blob), "cls").select("a", "salt", "cls", blob)
+    return cut(joined.repartition(parts, "a", "salt").mapInArrow(run, "a bigint, b bigint, salt int"))
 
 
-def _prefixes(tokens: np.ndarray, orders: bytes) -> list[np.ndarray]:
-    marks = np.frombuffer(orders, np.uint8).reshape(ORDERS - 1, -1)
-    return [tokens[np.flatnonzero(np.unpackbits(m)[: len(tokens)])] for m in marks]
+def _share_prefixes(a: list[np.ndarray], b: list[np.ndarray]) -> bool:
+    return all(len(np.intersect1d(x, y)) for x, y in zip(a, b, strict=True))
+
+
+def _verify(pairs: DataFrame, blobs: DataFrame, parts: int) -> DataFrame:
+    """The links (u, v) among pairs (a, b, salt): the further orders' filters are intersected first, so only pairs that share a token under every order get whole sets."""
+    left = _meet(pairs, blobs, "prefixes", parts, _share_prefixes, _prefixes)
+    return _meet(left, blobs, "tokens", parts, similar, unpack).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _prefixes(blob: bytes) -> list[np.ndarray]:
+    return list(np.frombuffer(blob, np.uint32).reshape(ORDERS - 1, -1))
 
 
 def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -411,30 +409,31 @@ def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     at = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("list", "a", "code", F.coalesce("root", "a").alias("root"))
     groups = at.groupBy("list", "root").agg(F.count("*").alias("size"))
     base = groups.groupBy("list").agg(F.max(F.struct("size", "root")).alias("base"), F.count("*").alias("groups"))
-    return at.join(base.where("groups > 1").select("list", F.col("base.root").alias("base")), "list")
+    return spread_join(at, base.where("groups > 1").select("list", F.col("base.root").alias("base")), "list", F.col("a"))
 
 
 def _new_pivots(at: DataFrame) -> DataFrame:
     """Pairs of each list's next pivot, the least member of its largest component but the base, with members of other components."""
     outside = at.where("root <> base").groupBy("list", "root").agg(F.count("*").alias("size"), F.min("a").alias("least"))
     pivot = outside.groupBy("list").agg(F.max_by(F.struct("least", "root"), F.struct("size", "root")).alias("p")).select("list", F.col("p.least").alias("x"), F.col("p.root").alias("rx"))
-    met = at.join(pivot, "list").where("root <> rx").select(F.col("x").alias("a"), F.col("a").alias("b")).distinct()
+    met = spread_join(at, pivot, "list", F.col("a")).where("root <> rx").select(F.col("x").alias("a"), F.col("a").alias("b")).distinct()
     return met.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
 
 
 def _families(at: DataFrame) -> DataFrame:
-    """a, code, root, lists, family, outer (in some list not in the base), block, of open lists; lists that share members are one family."""
+    """a, code, root, lists, family, outer (in some list not in the base), k, l, block, of open lists; lists that share members are one family.
+
+    A family has k outer and l inner blocks; members are dealt to them by hash."""
     docs = at.groupBy("a").agg(F.first("code").alias("code"), F.first("root").alias("root"), F.collect_set("list").alias("lists"), F.max((F.col("root") != F.col("base")).cast("int")).alias("outer"))
     of_list = components(at.select(F.col("list").alias("u"), F.col("a").alias("v"))).select("node", F.col("root").alias("_family"))
-    named = docs.join(of_list, F.col("a") == F.col("node"), "left").select("a", "code", "root", "lists", "outer", F.coalesce("_family", "a").alias("family"))
-    place = F.row_number().over(Window.partitionBy("family", "outer").orderBy("a")) - 1
-    return named.withColumn("block", F.floor(place / BLOCK).cast("int"))
+    named = cut(docs.join(of_list, F.col("a") == F.col("node"), "left").select("a", "code", "root", "lists", "outer", F.coalesce("_family", "a").alias("family")))
+    blocks = lambda n: F.ceil(F.sum(n) / BLOCK).cast("int")
+    shape = named.groupBy("family").agg(blocks(F.col("outer")).alias("k"), blocks(1 - F.col("outer")).alias("l")).where("k > 0")
+    return spread_join(named, shape, "family", F.col("a")).withColumn("block", F.pmod(F.xxhash64("a", F.lit(1)), F.when(F.col("outer") == 1, F.col("k")).otherwise(F.col("l"))).cast("int"))
 
 
-def _cells_of(families: DataFrame) -> DataFrame:
+def _cells_of(f: DataFrame) -> DataFrame:
     """family, i, j, a, ...: each member with every cell it belongs to. Cell (i, j) holds outer block i and, for j >= 0, outer block j >= i, else inner block -1 - j."""
-    shape = families.groupBy("family").agg((F.max(F.when(F.col("outer") == 1, F.col("block"))) + 1).alias("k"), F.coalesce(F.max(F.when(F.col("outer") == 0, F.col("block"))) + 1, F.lit(0)).alias("l")).where("k IS NOT NULL")
-    f = families.join(shape, "family")
     pair = lambda x, y: F.struct(x.cast("int").alias("i"), y.cast("int").alias("j"))
     others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: pair(F.least(x, F.col("block")), F.greatest(x, F.col("block"))))
     inner = F.when(F.col("l") > 0, F.transform(F.sequence(F.lit(1), F.greatest("l", F.lit(1))), lambda x: pair(F.col("block"), -x)))
@@ -458,7 +457,7 @@ def _verify_cells(cells: DataFrame, blobs: DataFrame, parts: int) -> DataFrame:
                 v.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    joined = cells.join(blobs, "cls").select("family", "i", "j", "cls", "code", "root", "lists", "tokens", "orders")
+    joined = cells.join(blobs, "cls").select("family", "i", "j", "cls", "code", "root", "lists", "tokens", "prefixes")
     return cut(joined.repartition(parts, "family", "i", "j").mapInArrow(run, "u bigint, v bigint"))
 
 
@@ -479,8 +478,7 @@ def _cell_links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
 
     def of(k: int) -> tuple:
         if k not in sets:
-            tokens = unpack(rows[k][4])
-            sets[k] = (tokens, _prefixes(tokens, rows[k][5]))
+            sets[k] = (unpack(rows[k][4]), _prefixes(rows[k][5]))
         return sets[k]
 
     seen: set[tuple[int, int]] = set()
@@ -491,17 +489,27 @@ def _cell_links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
                     continue
                 seen.add((x, y))
                 (a, pa_), (b, pb_) = of(x), of(y)
-                if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(pa_, pb_, strict=True)) and similar(a, b):
+                if _share_prefixes(pa_, pb_) and similar(a, b):
                     parent[find(rows[x][2])] = find(rows[y][2])
                     yield rows[x][0], rows[y][0]
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), with_root: bool = False) -> DataFrame:
-    """One row per document: id, carry, n_shingles, component_id (the smallest id reachable by links), and with_root component_root, which names the component where ids repeat."""
-    spark: SparkSession = docs.sparkSession
+def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, carry, n_shingles, component_id (the smallest id reachable by links). Carried columns win no name: one called n_shingles or component_id is left out."""
+    keyed = with_row_key(docs)
+    carried = F.struct(*unpacked(list(carry))) if carry else F.lit(0)
+    narrow = keyed.select(F.col("_doc").getField(id_col).alias("id"), F.col("_doc").getField(text).alias("text"), "_file", "_row", carried.alias("carried"))
+    found = _components_of(narrow, ("carried",) if carry else ())
+    left = [c for c in carry if c.lower() not in (id_col.lower(), "n_shingles", "component_id")]
+    return found.select(F.col("id").alias(id_col), *(F.col("carried").getField(c).alias(c) for c in left), "n_shingles", "component_id")
+
+
+def _components_of(keyed: DataFrame, carry: tuple[str, ...] = (), with_root: bool = False) -> DataFrame:
+    """id, _file, _row, carry, n_shingles, component_id of rows (id, text, _file, _row), and with_root component_root, which names the component where ids repeat."""
+    spark: SparkSession = keyed.sparkSession
     bound_batches(spark)
-    keyed = docs if {"_file", "_row"} <= set(docs.columns) else with_row_key(docs)
-    names = list(dict.fromkeys([id_col, *carry, "_file", "_row"]))
+    id_col, text = "id", "text"
+    names = [id_col, "_file", "_row", *carry]
     parts = exchange_parts(keyed)
     sets = _sets(keyed, names, text, parts)
     rows = sets.where("least is null").select(*names, "n", "cls")
@@ -538,18 +546,31 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     else:
         rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "n", "least", "size", F.coalesce("root", "cls").alias("root"))
         linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("size").alias("docs")).where("docs > 1").drop("docs")
-        named = rooted.join(linked, "root").select("cls", "n", "root", "component_id")
+        named = spread_join(rooted, linked, "root", F.col("cls")).select("cls", "n", "root", "component_id")
     named = cut(named)
     out = rows.alias("r").join(named.alias("c"), (F.col("r.cls") == F.col("c.cls")) & (F.col("r.n") == F.col("c.n")) & (F.col("r.n") > 0), "left")
     root = [F.coalesce("c.root", "r.cls").alias("component_root")] if with_root else []
-    return out.select(*(F.col(f"r.{c}").alias(c) for c in dict.fromkeys([id_col, *carry])), F.col("r.n").alias("n_shingles"), F.coalesce("c.component_id", f"r.{id_col}").alias("component_id"), *root)
+    return out.select(*(F.col(f"r.{c}").alias(c) for c in names), F.col("r.n").alias("n_shingles"), F.coalesce("c.component_id", f"r.{id_col}").alias("component_id"), *root)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component stays: of its smallest id the first physical row. Rows without words all stay."""
+    """One row of each component stays, with all its columns as they are: of its smallest id the first physical row. Rows without words all stay."""
     keyed = with_row_key(docs)
-    found = link_components(keyed, id_col, text, ("_file", "_row"), True)
-    order = F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col), "_file", "_row")
+    narrow = keyed.select(F.col("_doc").getField(id_col).alias("id"), F.col("_doc").getField(text).alias("text"), "_file", "_row")
+    found = _components_of(narrow, with_root=True)
+    order = F.struct(F.col("id").isNull().alias("x"), "id", "_file", "_row")
     first = found.where("n_shingles > 0").groupBy("component_root").agg(F.min(order).alias("k")).select("k._file", "k._row")
     kept = first.union(found.where("n_shingles = 0").select("_file", "_row"))
-    return keyed.join(kept, ["_file", "_row"], "left_semi").select(*docs.columns)
+    return keyed.join(kept, ["_file", "_row"], "left_semi").select(*unpacked(docs.columns))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+t AS MATERIALIZED (SELECT rid, len(g) AS n, unnest(g) AS t FROM s),
+k AS (SELECT a.rid AS x, b.rid AS y, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.rid < b.rid GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM k WHERE 100 * c >= 80 * (m + n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT rid, rid AS other FROM s UNION SELECT r.rid, e.y FROM r JOIN e ON r.other = e.x)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, c.component_id FROM s JOIN (SELECT r.rid, min(o.doc_id) AS component_id FROM r JOIN s o ON o.rid = r.other GROUP BY r.rid) c ON c.rid = s.rid
+"""

@@ -44,17 +44,19 @@ def separators(words: str) -> np.ndarray:
 
 
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse; those of a longer span than a chunk are not kept."""
     global _powers
-    if len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
-        size = max(n, CHUNK + 1)
-        pair = []
-        for base in (_MULT, inverse):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            pair.append(np.multiply.accumulate(p))
+    if len(_powers[0]) >= n:
+        return _powers
+    inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
+    pair = []
+    for base in (_MULT, inverse):
+        p = np.full(max(n, 2 * CHUNK), base, np.uint64)
+        p[0] = 1
+        pair.append(np.multiply.accumulate(p))
+    if n <= 2 * CHUNK:
         _powers = (pair[0], pair[1])
-    return _powers
+    return pair[0], pair[1]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +100,30 @@ def word_spans(buf: np.ndarray, bounds: np.ndarray, sep: np.ndarray) -> tuple[np
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, from one cumulative polynomial over the bytes."""
-    power, inverse = _grown(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(table[buf] * power[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span; spans are in order and do not overlap."""
+    return span_hashes(buf, starts, ends, table)[0]
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, beginnings: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """A 64-bit hash of each span, and per length in beginnings those of the first bytes of the spans that are longer.
+
+    Spans are taken in blocks of bytes, from one cumulative polynomial over a block, so memory
+    beyond the result does not grow with the text."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(len(beginnings) + 1)]
+    i, n = 0, len(starts)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
+        low, high = int(starts[i]), int(ends[j - 1])
+        power, inverse = _grown(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(table[buf[low:high]] * power[: high - low], out=total[1:])
+        a, b = starts[i:j] - low, ends[i:j] - low
+        out[0].append(mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)))
+        for k, length in enumerate(beginnings, 1):
+            x = a[b - a > length]
+            out[k].append(mix((total[x + length] - total[x]) * inverse[x] + np.uint64(length)))
+        i = j
+    return [np.concatenate(x) for x in out]
 
 
 def scatter(part: np.ndarray, parts: int, columns: dict[str, np.ndarray]) -> Iterator[dict]:

@@ -1,20 +1,22 @@
-"""Substring deduplication by hashing units of lines.
-
-A line is cut into units at words whose hash no word within REACH words on either side
-undercuts, so a passage gives the same units wherever in a line it stands; a line always starts
-a unit. Units are normalised (case of A-Z, white space) and hashed, and digests are grouped
-over all documents: the occurrence of the smallest (id, place) stays. Whole lines are hashed
-and grouped as well. A repeated line is removed whatever its length, and so are runs of repeated
-units of MIN_WORDS words or more, wherever they stand; original offsets are retained. Equal lines
-have equal units, so no unit's earliest occurrence is ever removed.
-
-Each task sends one occurrence per digest and segment of text, so a unit that every
+"""Substring deduplication by hashing lines, and units within lines.
+
+Lines are normalised (case of A-Z, white space) and hashed, digests are grouped over all
+documents, and the occurrence of the smallest (id, place) stays: every other one is removed,
+whatever its length, with its original offsets retained. Lines alone can't find a passage
+that begins and ends within longer lines, so lines are also cut into units, at words whose
+hash no word within REACH words on either side undercuts: a passage gives the same units
+wherever in a line it stands. A unit is lost if an earlier document has it, and runs of lost
+units of MIN_WORDS words or more are removed, too (of each line EDGE_WORDS words or more). Equal lines have equal units, so the
+earliest occurrence of a line or unit is never removed.
+
+Each task sends one occurrence per digest and segment of text, so a line that every
 document holds costs its partition a row per segment.
 
 Defined results: null and empty texts are left as they are; of repeated rows the first
-physical one stays whole; documents are ranked by id (as bigint, null or other types last)
-and then by place; a document whose whole text is removed keeps its row with an empty text;
-an empty table gives an empty table; columns named removed and n_removed are replaced.
+physical one stays whole; documents are ranked by id, of whatever type (null last), and then
+by place; the spans of removed, put back, give the original text exactly; a document whose whole text is
+removed keeps its row with an empty text; an empty table gives an empty table; columns named
+removed and n_removed (in any case of letters) are replaced, other columns are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .store import bound_batches, cut, exchange_parts, with_row_key
+from .store import bound_batches, cut, exchange_parts, schema_of, unpacked, with_row_key
 
 #: Words on either side that a boundary word's hash undercuts; words that a removed run has at least, if it is no whole line.
 REACH, MIN_WORDS = 3, 20
+#: A removed run takes at least so many words of each line that is not removed as a line.
+EDGE_WORDS = 6
 #: Text and documents of a segment.
 SEGMENT_BYTES, SEGMENT_DOCS = 8 << 20, 60_000
 
@@ -40,6 +44,8 @@ _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _CUT = np.uint64(0x2545F4914F6CDD1D)
 _LINE = np.uint64(0xDA942042E4DD58B5)
 _LAST = np.iinfo(np.int64).max
+#: In place of an ordinal: the document repeats lines of its own.
+_OWN = np.iinfo(np.uint32).max
 
 
 class Units:
@@ -57,7 +63,7 @@ class Units:
         cuts = np.ones(n, bool)
         for k in range(1, min(REACH, n - 1) + 1):
             same = line[k:] == line[:-k]
-            cuts[k:] &= ~same | (key[k:] <= key[:-k])  # of equal words each is one: a word said over and over gives units, too
+            cuts[k:] &= ~same | (key[k:] < key[:-k])  # of equal words the first is one: a word said over and over gives one unit
             cuts[:-k] &= ~same | (key[:-k] <= key[k:])
         self.new_line = np.append(True, line[1:] != line[:-1])[:n]
         self.first = np.flatnonzero(cuts | self.new_line)
@@ -88,34 +94,49 @@ def _runs(flag: np.ndarray) -> np.ndarray:
     return np.flatnonzero(padded[1:] != padded[:-1]).reshape(-1, 2)
 
 
-def removed_spans(units: Units, doc: int, repeated: np.ndarray, start: int, size: int) -> list[tuple[int, int]]:
-    """Byte spans, within the text, of repeated lines and of runs of repeated units (both by ordinal) with MIN_WORDS words or more."""
+def removed_spans(units: Units, doc: int, lost: np.ndarray, buf: np.ndarray, start: int, size: int) -> list[tuple[int, int]]:
+    """Byte spans, within the text, of lost and repeated lines and of runs of lost units with MIN_WORDS words or more.
+
+    lost has the ordinal of one occurrence of each lost unit and line; all of the document's are meant."""
     a, b = int(units.first_unit[doc]), int(units.first_unit[doc + 1])
-    flag, gone = np.zeros(b - a, bool), np.zeros(b - a, bool)
-    flag[repeated[repeated < b - a]] = True
+    l0, l1 = int(units.first_line[doc]), int(units.first_line[doc + 1])
+    gone = np.zeros(b - a, bool)
+    flag = np.isin(units.digest[a:b], units.digest[a + lost[lost < b - a]])
     words = np.append(0, np.cumsum(units.size[a:b]))
     for x, y in _runs(flag).tolist():
         gone[x:y] = words[y] - words[x] >= MIN_WORDS
-    lines = repeated[repeated >= b - a] - (b - a) + units.first_line[doc]
-    for x, y in zip((units.line_units[lines] - a).tolist(), (units.line_units[lines + 1] - a).tolist(), strict=True):
+    # A run that spans lines is taken line by line; the lines' own digests tell of short ones.
+    piece = np.cumsum(units.new_line[units.first[a:b]] | np.append(True, gone[1:] != gone[:-1])[: b - a])
+    gone &= np.bincount(piece, units.size[a:b], int(piece.max(initial=0)) + 1)[piece] >= EDGE_WORDS
+    own = units.line_digest[l0:l1]
+    again = np.isin(own, own[lost[(lost >= b - a) & (lost != _OWN)] - (b - a)])
+    if (lost == _OWN).any():
+        again |= ~np.isin(np.arange(l1 - l0), np.unique(own, return_index=True)[1])
+    for x, y in zip((units.line_units[l0:l1][again] - a).tolist(), (units.line_units[l0 + 1 : l1 + 1][again] - a).tolist(), strict=True):
         gone[x:y] = True
     last_word = int(units.first_word[doc + 1])
-    spans = []
+    spans: list[tuple[int, int]] = []
     for x, y in _runs(gone).tolist():
         w0 = int(units.first[a + x])
         w1 = int(units.first[a + y - 1] + units.size[a + y - 1])  # the word after
         inside = not units.new_line[w0]
-        if w1 == last_word:
-            stop = start + size
+        begin = int(units.starts[w0]) - start
+        if w1 == last_word:  # the white space before goes, too
+            stop = size
+            floor = spans[-1][1] if spans else 0
+            while begin > floor and _SEP[buf[start + begin - 1]]:
+                begin -= 1
+            if spans and begin == floor:
+                begin = spans.pop()[0]
         elif inside and units.new_line[w1]:
-            stop = int(units.ends[w1 - 1])  # what stands before in the line keeps its line end
+            stop = int(units.ends[w1 - 1]) - start  # what stands before in the line keeps its line end
         else:
-            stop = int(units.starts[w1])
-        spans.append((int(units.starts[w0]) - start, stop - start))
+            stop = int(units.starts[w1]) - start
+        spans.append((begin, stop))
     return spans
 
 
-def _occurrences(docs: DataFrame, text: str, parts: int) -> DataFrame:
+def _occurrences(docs: DataFrame, parts: int) -> DataFrame:
     """Exchanged by digest: rows of segments (seg, files, rows, idx, ord: what is repeated within) and of losers elsewhere (seg, idx, ord)."""
     names = ["p", "seg", "files", "rows", "digest", "id", "idx", "ord"]
     schema = "p int, seg bigint, files binary, rows binary, digest binary, id binary, idx binary, ord binary"
@@ -125,17 +146,20 @@ def _occurrences(docs: DataFrame, text: str, parts: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        held: dict[str, list] = {k: [] for k in ("digest", "id", "idx", "ord", "file", "row")}
+        held: dict[str, list] = {k: [] for k in ("digest", "id", "idx", "ord", "line", "file", "row")}
         size = docs_held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal made, size, docs_held
             c = {k: np.concatenate(v) for k, v in held.items()}
             order = np.lexsort((c["ord"], c["idx"], c["id"], c["digest"]))
-            d, i, x, o = (c[k][order] for k in ("digest", "id", "idx", "ord"))
-            new = np.append(True, d[1:] != d[:-1]) if len(d) else np.zeros(0, bool)
+            d, i, x, o, line = (c[k][order] for k in ("digest", "id", "idx", "ord", "line"))
+            new = np.append(True, d[1:] != d[:-1])[: len(d)]
+            other = new | np.append(True, x[1:] != x[:-1])[: len(d)]  # the digest's first occurrence in a document
+            elsewhere, own = other & ~new, np.unique(x[line & ~other])
             seg = part << 32 | made
-            rows = [{"p": made % parts, "seg": seg, "files": c["file"].tobytes(), "rows": c["row"].tobytes(), "idx": x[~new].astype(np.uint16).tobytes(), "ord": o[~new].astype(np.uint32).tobytes()}]
+            lost_x, lost_o = np.append(x[elsewhere], own), np.append(o[elsewhere], np.full(len(own), _OWN))
+            rows = [{"p": hash((part, made)) % parts, "seg": seg, "files": c["file"].tobytes(), "rows": c["row"].tobytes(), "idx": lost_x.astype(np.uint16).tobytes(), "ord": lost_o.astype(np.uint32).tobytes()}]
             for r in kernel.scatter((d[new] % np.uint64(parts)).astype(np.int64), parts, {"digest": d[new], "id": i[new], "idx": x[new].astype(np.uint16), "ord": o[new].astype(np.uint32)}):
                 r.pop("n")
                 rows.append(r | {"seg": seg})
@@ -153,8 +177,9 @@ def _occurrences(docs: DataFrame, text: str, parts: int) -> DataFrame:
                     yield flush()
                 u = Units(buf, bounds)
                 many = np.diff(u.first_unit)
-                for digest, first, before in ((u.digest, u.first_unit, np.zeros(n, np.int64)), (u.line_digest, u.first_line, many)):
+                for line, digest, first, before in ((False, u.digest, u.first_unit, np.zeros(n, np.int64)), (True, u.line_digest, u.first_line, many)):
                     of = np.repeat(np.arange(n), np.diff(first))
+                    held["line"].append(np.full(len(of), line))
                     held["digest"].append(digest)
                     held["id"].append(ids[row : row + n][of])
                     held["idx"].append(of + docs_held)
@@ -197,8 +222,8 @@ def _occurrences(docs: DataFrame, text: str, parts: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    sent = docs.select("_file", "_row", "_rank", F.col(text)).mapInArrow(send, schema)
-    return cut(sent.repartition(parts, "p").mapInArrow(settle, schema).select("seg", "files", "rows", "idx", "ord"))
+    sent = docs.select("_file", "_row", "_rank", "text").mapInArrow(send, schema)
+    return cut(sent.repartitionById(parts, "p").mapInArrow(settle, schema).select("seg", "files", "rows", "idx", "ord"))
 
 
 def _lost_units(occurrences: DataFrame, parts: int) -> DataFrame:
@@ -230,23 +255,34 @@ def _lost_units(occurrences: DataFrame, parts: int) -> DataFrame:
     return occurrences.repartition(parts, "seg").mapInArrow(gather, "_file bigint, _row bigint, lost binary")
 
 
+def _ranked(keyed: DataFrame, id_col: str, text: str) -> DataFrame:
+    """text, _file, _row and _rank, which orders documents by id: whole numbers themselves, other types by their place in a sort of the narrow table of ids."""
+    found = keyed.select(F.col("_doc").getField(id_col).alias("_id"), "_file", "_row", F.col("_doc").getField(text).alias("text"))
+    if dict(found.dtypes)["_id"] in ("bigint", "int", "smallint", "tinyint"):
+        return found.select("_file", "_row", F.col("_id").cast("bigint").alias("_rank"), "text")
+    order = [F.col("_id").asc_nulls_last(), "_file", "_row"]
+    ids = found.select("_id", "_file", "_row")
+    place = cut(ids.repartitionByRange(*order).sortWithinPartitions(*order).select("_file", "_row", F.monotonically_increasing_id().alias("_rank")))
+    return found.join(place, ["_file", "_row"]).select("_file", "_row", "_rank", "text")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text cleaned, removed (array<struct<start,end>>: code points of the original text) and n_removed (their number)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    kept = [c for c in docs.columns if c not in ("removed", "n_removed")]
-    keyed = with_row_key(docs.select(*kept))
-    integer = docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
-    parts = exchange_parts(keyed)
-    ranked = keyed.withColumn("_rank", F.col(id_col).cast("bigint") if integer else F.lit(None).cast("bigint"))
-    lost = _lost_units(_occurrences(ranked, text, parts), parts)
+    kept = [c for c in docs.columns if c.lower() not in ("removed", "n_removed")]
     carry = [c for c in kept if c != text]
-    joined = keyed.join(lost, ["_file", "_row"], "left").select(*carry, text, "lost")
+    keyed = with_row_key(docs.select(*(F.col(f"`{c}`") for c in kept)))
+    parts = exchange_parts(keyed)
+    lost = _lost_units(_occurrences(_ranked(keyed, id_col, text), parts), parts)
+    # All but the text in one struct, so that no name of docs meets one of ours.
+    rest = F.struct(*unpacked(carry)) if carry else F.lit(0)
+    joined = keyed.join(lost, ["_file", "_row"], "left").select(rest.alias("rest"), F.col("_doc").getField(text).alias("text"), "lost")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts, blobs = batch.column(len(carry)), batch.column(len(carry) + 1)
+            texts, blobs = batch.column(1), batch.column(2)
             hit = np.flatnonzero(np.asarray(blobs.is_valid()))
             removed: list[list] = [[] for _ in range(batch.num_rows)]
             new: dict[int, str] = {}
@@ -255,20 +291,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
                     u = Units(buf, bounds)
                     for k in range(len(bounds) - 1):
                         at, start, size = int(hit[row + k]), int(bounds[k]), int(bounds[k + 1] - bounds[k])
-                        spans = removed_spans(u, k, np.frombuffer(blobs[at].as_py(), np.uint32).astype(np.int64), start, size)
+                        spans = removed_spans(u, k, np.frombuffer(blobs[at].as_py(), np.uint32).astype(np.int64), buf, start, size)
                         if spans:
                             whole = buf[start : start + size]
                             points = np.append(0, np.cumsum((whole & 0xC0) != 0x80))
                             removed[at] = [{"start": int(points[a]), "end": int(points[b])} for a, b in spans]
                             edges = [0, *(x for s in spans for x in s), size]
-                            left = b"".join(whole[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2]))
-                            new[at] = (left.rstrip() if spans[-1][1] == size else left).decode("utf-8")
+                            new[at] = b"".join(whole[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2])).decode("utf-8")
             if new:
                 values = texts.to_pylist()
                 for at, t in new.items():
                     values[at] = t
                 texts = pa.array(values, texts.type)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], texts, pa.array(removed, span), pa.array([len(x) for x in removed], pa.int64())], names=[*carry, text, "removed", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(removed, span), pa.array([len(x) for x in removed], pa.int64())], names=["rest", "text", "removed", "n_removed"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*carry, text]), "removed array<struct<start:bigint,end:bigint>>, n_removed bigint"])
-    return joined.mapInArrow(apply, schema).select(*kept, "removed", "n_removed")
+    schema = schema_of([joined.schema["rest"], joined.schema["text"]], "removed array<struct<start:bigint,end:bigint>>, n_removed bigint")
+    out = joined.mapInArrow(apply, schema)
+    return out.select(*(F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in kept), "removed", "n_removed")

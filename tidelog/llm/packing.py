@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.code import ship
-from .store import cut
+from .store import cut, with_row_key
 
 OVERHEAD = 8  # bytes that a shard file spends on each row
 #: Rows of one bucket on average, and the most buckets: buckets times shards rows reach the driver.
@@ -43,7 +43,7 @@ def place(load: np.ndarray, room: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack_bucket(shards: int):
+def _pack_bucket(shards: int, keys: tuple[str, ...]):
     """Places the groups of a bucket, so that with its rows of large groups, whose shard is given, each shard gets an even part."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -61,20 +61,20 @@ def _pack_bucket(shards: int):
             pdf["shard"] = pdf["shard"].fillna(pdf["group"].map(dict(zip(groups["group"], to))))
         pdf["shard"] = pdf["shard"].astype("int32")
         pdf["pos"] = pdf.groupby("shard").cumcount().astype("int64")
-        return pdf[["bucket", "doc_id", "size", "text_crc32", "shard", "pos"]]
+        return pdf[["bucket", "doc_id", "size", "text_crc32", "shard", "pos", *keys]]
 
     return pack
 
 
-def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
+def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard), and keys (whole numbers that tell rows apart)."""
     spark = docs.sparkSession
     ship(spark)
     t = F.coalesce(F.col(text), F.lit(""))
     tokens = F.length(t) - F.length(F.translate(t, " \n", "")) + 1  # white space breaks, plus one
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(t) + OVERHEAD).cast("long").alias("size"), tokens.cast("long").alias("tokens"),
-        F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), F.xxhash64(t).alias("group"),
+        F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), F.xxhash64(t).alias("group"), *keys,
     )
     rows = cut(rows.withColumn("group", F.xxhash64("group", "text_crc32", "size")))
     totals = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("double") for c in ("size", "tokens")), F.count("*")).first()
@@ -95,16 +95,18 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str
     dealt = rows.join(F.broadcast(fixed), "group", "left")
     home = F.get("homes", F.pmod(F.xxhash64("doc_id", "group"), F.size("homes")).cast("int"))
     spread = F.when(F.col("homes").isNull(), F.col("group")).otherwise(F.xxhash64("group", "doc_id"))  # rows of a placed group need not meet
-    dealt = dealt.select("doc_id", "size", "tokens", "text_crc32", "group", home.alias("shard"), F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int").alias("bucket"))
-    packed = cut(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_pack_bucket(shards), "bucket int, doc_id long, size long, text_crc32 long, shard int, pos long"))
+    dealt = dealt.select("doc_id", "size", "tokens", "text_crc32", "group", home.alias("shard"), F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int").alias("bucket"), *keys)
+    packed = cut(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_pack_bucket(shards, keys), ", ".join(["bucket int, doc_id long, size long, text_crc32 long, shard int, pos long", *(f"{k} long" for k in keys)])))
     counts = packed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))  # buckets * shards rows at most
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return packed.join(F.broadcast(offsets), ["bucket", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("pos") + F.col("offset")).alias("slot"))
+    return packed.join(F.broadcast(offsets), ["bucket", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("pos") + F.col("offset")).alias("slot"), *keys)
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write documents under path/shard=N, each shard sorted by slot. Ids must be unique."""
-    placed = placed.select(F.col("doc_id").alias("_doc_id"), "shard", "slot")
-    joined = docs.join(placed, F.col(id_col) == F.col("_doc_id")).drop("_doc_id")
+def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text: str = "text") -> None:
+    """Write documents under path/shard=N, each shard sorted by slot: every physical row once, with its columns in a struct doc, and its slot."""
+    keyed = with_row_key(docs)
+    narrow = keyed.select(F.col("_doc").getField(id_col).alias("id"), F.col("_doc").getField(text).alias("text"), "_file", "_row")
+    placed = assign(narrow, shards, "id", "text", ("_file", "_row")).select("_file", "_row", "shard", "slot")
+    joined = keyed.join(placed, ["_file", "_row"]).select(F.col("_doc").alias("doc"), "slot", "shard")
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

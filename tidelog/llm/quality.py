@@ -2,7 +2,9 @@
 
 Each text gets base measures and a base verdict. Failures are counted by host, the
 hosts' failure rates are shrunk with a beta prior that is fitted to all hosts, and hosts
-whose shrunk rate is too high are rejected; the verdicts are joined back to documents.
+whose rate is surely far above the typical one are rejected; the verdicts are joined back to
+documents. Where the hosts' rates differ no more than chance makes them differ, the prior is
+a point, all rates are shrunk to it and no host is rejected.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host
 is a host of its own; repeated rows are judged each and all count; an empty table gives
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from .store import cut
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A host is rejected if its shrunk failure rate is over this.
-MAX_HOST_RATE = 0.5
+#: A host is rejected if its shrunk failure rate, less DEVIATIONS posterior deviations, is over HOST_RATIO times the prior's mean or over MAX_HOST_RATE.
+HOST_RATIO, MAX_HOST_RATE, DEVIATIONS = 2.0, 0.5, 2.0
 #: Copies of the small host table, so that one hot host's documents meet it in so many tasks.
 SALTS = 16
 SYMBOLS = "#*$%&|<>"
@@ -70,15 +72,18 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host
 def host_verdicts(judged: DataFrame) -> DataFrame:
     """host, n_docs, n_failed, shrunk_rate and host_rejected.
 
-    The prior is fitted by moments: with m the mean and v the variance of the hosts' rates,
-    its weight is m(1-m)/v - 1, held to between 1 and 1000 (1000 where all rates agree)."""
+    The prior is fitted by moments: with m the mean and v the variance of the hosts' rates, less the
+    variance m(1-m)/n that chance gives a host of n documents, its weight is m(1-m)/v - 1; where nothing of v is left, it is unbounded."""
     hosts = judged.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).select(
-        "m", F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(1000.0).alias("weight")
-    )
-    shrunk = (F.col("n_failed") + F.col("m") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
-    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk > MAX_HOST_RATE).alias("host_rejected"))  # the prior is one row
+    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("chance"))
+    spread = F.col("m") * (1 - F.col("m"))
+    prior = prior.withColumn("between", F.col("v") - spread * F.col("chance")).select("m", F.when(F.col("between") > 0, F.greatest(F.lit(0.0), spread / F.col("between") - 1)).alias("weight"))
+    shrunk = F.coalesce((F.col("n_failed") + F.col("m") * F.col("weight")) / (F.col("n_docs") + F.col("weight")), F.col("m"))
+    known = hosts.join(F.broadcast(prior)).withColumn("shrunk_rate", shrunk)  # the prior is one row
+    deviation = F.sqrt(F.col("shrunk_rate") * (1 - F.col("shrunk_rate")) / (F.col("n_docs") + F.col("weight") + 1))
+    rejected = F.col("shrunk_rate") - DEVIATIONS * deviation > F.least(HOST_RATIO * F.col("m"), F.lit(MAX_HOST_RATE))
+    return known.select("host", "n_docs", "n_failed", "shrunk_rate", F.coalesce(rejected, F.lit(False)).alias("host_rejected"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -109,9 +114,10 @@ m AS (SELECT doc_id, source, n_words, length(regexp_replace(text, '[\x20\x09-\x0
       FROM b LEFT JOIN r USING (rid)),
 j AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n_docs, sum(base_failed::INT)::BIGINT AS n_failed FROM j GROUP BY source),
-k AS (SELECT avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v FROM h),
-s AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS weight FROM k),
-z AS (SELECT source, (n_failed + m * weight) / (n_docs + weight) > 0.5 AS rejected FROM h, s)
+k AS (SELECT avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v, avg(1 / n_docs) AS chance FROM h),
+s AS (SELECT m, CASE WHEN v - m * (1 - m) * chance > 0 THEN greatest(0.0, m * (1 - m) / (v - m * (1 - m) * chance) - 1) END AS weight FROM k),
+y AS (SELECT source, m, n_docs + weight + 1 AS size, (n_failed + m * weight) / (n_docs + weight) AS rate FROM h, s),
+z AS (SELECT source, coalesce(rate - 2 * sqrt(rate * (1 - rate) / size) > least(2 * m, 0.5), false) AS rejected FROM y)
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT rejected) AS kept
 FROM j JOIN z ON j.source IS NOT DISTINCT FROM z.source
 """

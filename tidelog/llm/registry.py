@@ -59,4 +59,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_urls, op4_toxicity, op5_linededup, op6_chat, op7_sharding, op8_bpe, op9_jaccard, op10_tokens)}
-SQL = {"op1_decontamination": decontaminate.ORACLE, "op2_quality": quality.ORACLE, "op3_urls": urlrules.ORACLE, "op6_chat": chat.ORACLE}
+SQL = {"op1_decontamination": decontaminate.ORACLE, "op2_quality": quality.ORACLE, "op3_urls": urlrules.ORACLE, "op6_chat": chat.ORACLE, "op9_jaccard": jaccard.ORACLE}

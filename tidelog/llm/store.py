@@ -1,69 +1,45 @@
-"""Shared-folder tables, stable row keys and bounded Arrow batches."""
+"""Stable row keys, bounded Arrow batches and exchange sizes."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.code import ship
+from ..sources.scratch import cut
+
+__all__ = ["bound_batches", "cut", "exchange_parts", "schema_of", "unpacked", "with_row_key"]
 
 #: Rows in one Arrow batch handed to a Python worker; bounds worker memory.
 ARROW_ROWS = 1000
-#: Bytes that may be broadcast or collected; beyond it operators work in blocks.
-BROADCAST_BYTES = 32 << 20
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is unset
-    and the master is local, a folder under /tmp/checkpoints."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_before.get() if set_before.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later stages recompute nothing
-    and survive lost executors. The table goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tidelog-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        if spark.sparkContext._jsc is None:
-            return
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def with_row_key(df: DataFrame) -> DataFrame:
-    """Add _file and _row (bigint), which together name one physical row and stay the
-    same in every scan, so that repeated rows and repeated ids remain distinct.
-    A frame that is no file scan is written to the shared folder first."""
-    keyed = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """_doc (a struct of all columns of docs, whatever their names), _file and _row (bigint), which
+    together name one physical row and stay the same in every scan, so that repeated rows
+    and repeated ids remain distinct. A frame that is no file scan is written to the shared folder first."""
+    packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        return df.select(packed, F.xxhash64(at["file_path"]).alias("_file"), at["row_index"].alias("_row"))
+
     try:
-        return df.select("*", *keyed)
+        return keyed(docs)
     except AnalysisException:
-        return cut(df).select("*", *keyed)
+        return keyed(cut(docs))
+
+
+def schema_of(fields: list[StructField], ddl: str) -> StructType:
+    """Carried fields, by whatever names, and those that are made."""
+    return StructType([*(StructField(f.name, f.dataType) for f in fields), *StructType.fromDDL(ddl).fields])
+
+
+def unpacked(names: list[str], packed: str = "_doc") -> list:
+    """The columns that with_row_key packed."""
+    return [F.col(packed).getField(c).alias(c) for c in names]
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -1,14 +1,15 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is logistic in its distinct
-words and their beginnings (PREFIX bytes, so that inflected forms share a feature); the document's is their noisy-or, 1 - prod(1 - p).
+words and their beginnings (of PREFIXES bytes, so that inflected forms share features); the document's is their noisy-or, 1 - prod(1 - p).
 A text of more sentences than a window (the WINDOW quantile of the sampled documents' numbers) scores as its
 most offending window, as the sentences' background alone would add up in a long clean text. Windows overlap by half. Word weights are trained from
 document labels only, on a bounded sample of labelled rows, and then score every sentence
 of every document, so the offending sentences are located without sentence labels.
 
-Parameters that bound the fit: SAMPLE_ROWS labelled rows (those of the smallest hashes of
-their ids), of texts up to SAMPLE_BYTES each, and VOCABULARY words. Scoring has no bounds.
+The fit is bounded by SAMPLE_ROWS labelled rows (those of the smallest hashes of their ids) and, so that one task
+can hold them, by SAMPLE_BYTES of text in all: rows are taken in that order, of whatever length, until their texts
+reach it. Of the sample's features those take part that are told by a test of independence from the label. Scoring has no bounds.
 
 Defined results: a null or empty text has no sentence and scores as one empty sentence;
 repeated rows are scored each; a label that is null is not learnt from, and with no labels
@@ -27,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .store import bound_batches
+from .store import bound_batches, schema_of, with_row_key
 
-SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY = 8_000, 32_768, 50_000
-#: Training steps and their size, the weights' penalty over the root of the sample's size; a feature must stand in so many sampled documents.
-STEPS, RATE, L1, MIN_DOCS = 300, 0.05, 3e-3, 4
-PREFIX = 6
+SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 48 << 20
+#: Training steps and their size, and the weights' penalty over the root of the sample's size.
+STEPS, RATE, L1 = 300, 0.05, 3e-3
+#: Bytes of the word beginnings that are features; deviations from independence that a feature needs; label 1 weighs (zeros / ones) ** BALANCE.
+PREFIXES, SCREEN, BALANCE = (3, 4, 5, 6, 8), 4.0, 0.5
 #: Of the sampled documents, the share that has no more sentences than a window.
 WINDOW = 0.95
 
@@ -69,7 +71,7 @@ class Bags:
 
 def bags(buf: np.ndarray, bounds: np.ndarray) -> Bags:
     starts, ends, first = kernel.word_spans(buf, bounds, _SEP)
-    h = kernel.word_hashes(buf, starts, ends, _TABLE)
+    hashed = kernel.span_hashes(buf, starts, ends, _TABLE, PREFIXES)
     stops = np.flatnonzero(_STOP[buf])
     n = len(bounds) - 1
     # A sentence runs to a stop or the text's end; cut[i] is the first byte after sentence i.
@@ -82,9 +84,8 @@ def bags(buf: np.ndarray, bounds: np.ndarray) -> Bags:
     begin = np.where(used > 0, cuts[used - 1], 0) if len(used) else np.zeros(0, np.int64)
     spans = np.stack([np.maximum(begin, bounds[doc_of]) - bounds[doc_of], (cuts[used] if len(used) else begin) - bounds[doc_of]], axis=1)
     bare = np.setdiff1d(np.arange(n), doc_of)  # texts without words: one empty sentence each
-    long = np.flatnonzero(ends - starts > PREFIX)
-    stems = kernel.word_hashes(buf, starts[long], starts[long] + PREFIX, _TABLE) ^ np.uint64(1)
-    h, of_word = np.concatenate([h, stems]), np.concatenate([of_word, of_word[long]])
+    h = np.concatenate([hashed[0], *(x ^ np.uint64(1) for x in hashed[1:])])
+    of_word = np.concatenate([of_word, *(of_word[ends - starts > length] for length in PREFIXES)])
     order = np.lexsort((h, of_word))
     h, of_word = h[order], of_word[order]
     new = np.append(True, (h[1:] != h[:-1]) | (of_word[1:] != of_word[:-1])) if len(h) else np.zeros(0, bool)
@@ -109,46 +110,61 @@ def noisy_or(b: Bags, logits: np.ndarray, window: int) -> np.ndarray:
     return -np.expm1(-best)
 
 
+def _merged(seen: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counted features (hash, documents, documents of label 1), added up."""
+    terms, place = np.unique(np.concatenate([x[0] for x in seen]), return_inverse=True)
+    counted, ones = (np.bincount(place, np.concatenate([x[k] for x in seen]), len(terms)) for k in (1, 2))
+    return terms, counted, ones
+
+
+def screened(texts: pa.Array, y: np.ndarray) -> np.ndarray:
+    """The features whose number of documents of label 1 is SCREEN deviations off what their number of documents gives, sorted."""
+    seen, n_docs = [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))], 0
+    for _, buf, bounds in kernel.chunks(texts):
+        b = bags(buf, bounds)
+        own = b.doc[b.sentence]
+        order = np.lexsort((own, b.words))
+        h, own = b.words[order], own[order]
+        once = np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1]))[: len(h)]  # a feature counts once in a document
+        found, at = np.unique(h[once], return_inverse=True)
+        seen.append((found, np.bincount(at, minlength=len(found)), np.bincount(at, y[own[once] + n_docs], len(found))))
+        n_docs += b.n_docs
+        if len(seen) > 8:
+            seen = [_merged(seen)]
+    terms, docs_with, ones_with = _merged(seen)
+    share = float(y.mean())
+    spread = np.sqrt(docs_with * share * (1 - share) * np.maximum(1 - docs_with / n_docs, 1e-9))
+    return terms[np.abs(ones_with - docs_with * share) >= SCREEN * spread]
+
+
 def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     """Adam on the documents' log likelihood under the noisy-or, with soft thresholding of the weights."""
     share = float(labels.mean()) if len(labels) else 0.5
     if share in (0.0, 1.0) or not len(labels):
         return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0, share)
-    # All arrays per sentence and feature stay in blocks of a chunk of text; only the document and feature arrays are whole.
-    blocks, seen, n_docs = [], [], 0
+    y = labels.astype(float)
+    terms = screened(texts, y)
+    blocks, n_docs = [], 0  # of a chunk of text each: the known features, their sentences and the sentences' documents
     for _, buf, bounds in kernel.chunks(texts):
         b = bags(buf, bounds)
-        own = b.doc[b.sentence]
-        order = np.lexsort((own, b.words))
-        h, own = b.words[order], own[order]
-        seen.append(np.unique(h[np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1]))[: len(h)]], return_counts=True))  # once per document
-        blocks.append((b.words, b.sentence.astype(np.int32), (b.doc + n_docs).astype(np.int32)))
+        k = np.minimum(np.searchsorted(terms, b.words), max(0, len(terms) - 1))
+        known = terms[k] == b.words if len(terms) else np.zeros(len(b.words), bool)
+        blocks.append((k[known].astype(np.int32), b.sentence[known].astype(np.int32), (b.doc + n_docs).astype(np.int32)))
         n_docs += b.n_docs
-    terms, place = np.unique(np.concatenate([h for h, _ in seen]), return_inverse=True)
-    docs_with = np.bincount(place, np.concatenate([c for _, c in seen]), len(terms))
-    del seen, place
-    terms, docs_with = terms[docs_with >= MIN_DOCS], docs_with[docs_with >= MIN_DOCS]
-    if len(terms) > VOCABULARY:
-        terms = np.sort(terms[np.argsort(-docs_with, kind="stable")[:VOCABULARY]])
-    for i, (h, sentence, doc) in enumerate(blocks):
-        k = np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
-        known = terms[k] == h if len(terms) else np.zeros(len(h), bool)
-        blocks[i] = (k[known].astype(np.int32), sentence[known], doc)
-    y = labels.astype(float)
     per_doc = np.zeros(n_docs, np.int64)
     for _, _, doc in blocks:
         per_doc += np.bincount(doc, minlength=n_docs)
     w = np.zeros(len(terms) + 1)
     w[-1] = np.log(share / max(1.0, float(np.median(per_doc))))  # a sentence is seldom the offending one
     m, v = np.zeros_like(w), np.zeros_like(w)
-    penalty = L1 / np.sqrt(n_docs)
+    penalty, ones_weight = L1 / np.sqrt(n_docs), ((1 - share) / share) ** BALANCE
     for step in range(1, STEPS + 1):
         logits = [w[-1] + np.bincount(sentence, w[word], len(doc)) for word, sentence, doc in blocks]
         total = np.zeros(n_docs)
         for z, (_, _, doc) in zip(logits, blocks, strict=True):
             total += np.bincount(doc, np.logaddexp(0, z), n_docs)
         clear = np.clip(np.exp(-total), 1e-9, 1 - 1e-9)  # prod(1 - p)
-        slope = np.where(y > 0, -clear / (1 - clear), 1.0) / n_docs
+        slope = np.where(y > 0, -ones_weight * clear / (1 - clear), 1.0) / n_docs
         g = np.zeros_like(w)
         for z, (word, sentence, doc) in zip(logits, blocks, strict=True):
             pull = slope[doc] / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -163,22 +179,30 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on the bounded sample of labelled rows; labels must hold no held-out rows."""
-    wanted = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label).alias("_y"))
-    sample = wanted.orderBy(F.xxhash64(id_col), id_col, "_y").limit(SAMPLE_ROWS)
+    wanted = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
+    sample = wanted.orderBy(F.xxhash64("_id"), "_id", "_y").limit(SAMPLE_ROWS)
     bound_batches(docs.sparkSession)
-    rows = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(F.col(id_col), F.col(text)).join(F.broadcast(sample), id_col)  # SAMPLE_ROWS small rows
-    ordered = rows.orderBy(F.xxhash64(id_col), id_col, text).limit(SAMPLE_ROWS).select(text, "_y")
+    keyed = with_row_key(docs).select(F.col("_doc").getField(id_col).alias("_id"), F.col("_doc").getField(text).alias("text"), "_file", "_row")
+    met = keyed.select("_id", "_file", "_row", F.octet_length("text").alias("size")).join(F.broadcast(sample), "_id")  # SAMPLE_ROWS small rows
+    chosen, size = [], 0
+    for r in met.orderBy(F.xxhash64("_id"), "_id", "_file", "_row", "_y").limit(SAMPLE_ROWS).select("_file", "_row", "_y", "size").collect():
+        size += r["size"] or 0
+        if chosen and size > SAMPLE_BYTES:
+            break
+        chosen.append((r._file, r._row, r._y, len(chosen)))
+    if not chosen:
+        return fit(pa.array([], pa.string()), np.zeros(0))
+    picked = docs.sparkSession.createDataFrame(chosen, "_file long, _row long, _y int, place int")  # SAMPLE_ROWS at most
+    ordered = keyed.join(F.broadcast(picked), ["_file", "_row"]).select("text", "_y", "place").repartition(1).sortWithinPartitions("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("_y", pa.int32())]))
+        table = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("_y", pa.int32()), ("place", pa.int32())]))
         model = fit(table.column(0).combine_chunks(), table.column(1).to_numpy() > 0)
         constant = pa.array([model.constant], pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array([model.terms.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias]), constant, pa.array([model.window], pa.int64())], names=["terms", "weights", "bias", "constant", "size"])
 
-    # The sample is one partition, so one task fits the model and the driver only gets that; no partition at all means no labelled row.
-    made = ordered.withColumn("_y", F.col("_y").cast("int")).mapInArrow(run, "terms binary, weights binary, bias double, constant double, size bigint").collect()
-    if not made:
-        return fit(pa.array([], pa.string()), np.zeros(0))
+    # The sample is one partition, so one task fits the model and the driver only gets that.
+    made = ordered.mapInArrow(run, "terms binary, weights binary, bias double, constant double, size bigint").collect()
     return Model(np.frombuffer(made[0].terms, np.uint64), np.frombuffer(made[0].weights, np.float64), made[0].bias, made[0].constant, made[0]["size"])
 
 
@@ -186,9 +210,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     """id, score (0 to 1), with the columns named in carry (the text may be one)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # VOCABULARY words at most
-    keep = list(dict.fromkeys(c for c in (id_col, *carry) if c != "score"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    shared = spark.sparkContext.broadcast(model)  # no more features than SAMPLE_BYTES gives
+    keep = list(dict.fromkeys(c for c in (id_col, *carry) if c.lower() != "score"))
+    schema = schema_of([docs.schema[c] for c in keep], "score double")
     sent = keep if text in keep else [*keep, text]
     at = sent.index(text)
 
@@ -232,7 +256,15 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_held_out(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, by a model of the labels that are not held out."""
     model = train(docs, labels.where(~held_out()))
-    return score(docs, model, carry=carry).withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return score(docs, model).withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that score under `least`, with all their columns as they are, by a model of the labels that are not held out."""
+    model = train(docs, labels.where(~held_out(id_col)), id_col, text)
+    packed = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("rest"))
+    kept = score(packed, model, "rest", carry=("text",)).where(F.col("score") < least)
+    return kept.select(*(F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns))
