@@ -295,7 +295,7 @@ def _mapped(df: DataFrame, text: str, made: dict[str, tuple[str, pa.DataType]],
             new = [pa.array([r[i] for r in rows], type=kind) for i, (_, kind) in enumerate(made.values())]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in carry), *new], names=[*carry, *made])
 
-    return df.select(*carry, F.col(text)).mapInArrow(run, schema)
+    return df.select(*carry, F.col(text)).mapInArrow(kernel.freeing(run), schema)
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -317,7 +317,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
             out = [decode_ids(np.array(x.as_py() or [], np.int64), vocabulary.value) for x in batch.column(batch.schema.get_field_index(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*kept, "decoded"])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return df.select(*kept).mapInArrow(kernel.freeing(run), schema)
 
 
 def encode_digest(df: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:

@@ -118,7 +118,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         if held["ids"]:
             yield flush()
 
-    return cut(docs.select(F.col(id_col).cast("string"), F.col(text)).mapInArrow(run, _SEGMENT))
+    return cut(docs.select(F.col(id_col).cast("string"), F.col(text)).mapInArrow(kernel.freeing(run), _SEGMENT))
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Segment]]:
@@ -187,7 +187,7 @@ def _matches(index: DataFrame, phrases: Phrases, all_docs: bool) -> DataFrame:
                 names=["segment", "ord", "doc_id", "n_words", "items", "from", "to"],
             )
 
-    return index.mapInArrow(run, "segment string, ord int, doc_id string, n_words bigint, items array<string>, `from` array<int>, `to` array<int>")
+    return index.mapInArrow(kernel.freeing(run), "segment string, ord int, doc_id string, n_words bigint, items array<string>, `from` array<int>, `to` array<int>")
 
 
 def _covered(a: np.ndarray, b: np.ndarray) -> int:
@@ -229,7 +229,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     index = build_index(docs, id_col, text)
     if blocks <= 1:
         found = _matches(index, Phrases(_items(benchmark, item_col, item_text)), True)
-        return found.mapInArrow(_verdicts, _VERDICT).withColumn("doc_id", whole)
+        return found.mapInArrow(kernel.freeing(_verdicts), _VERDICT).withColumn("doc_id", whole)
     parts = []
     for b in range(2 * blocks):  # hash blocks of about half the bound
         own = benchmark.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(2 * blocks)) == b)
@@ -241,7 +241,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"),
         F.flatten(F.collect_list("from")).alias("from"), F.flatten(F.collect_list("to")).alias("to"),
     )
-    return merged.select("segment", "ord", "doc_id", "n_words", "items", "from", "to").mapInArrow(_verdicts, _VERDICT).withColumn("doc_id", whole)
+    return merged.select("segment", "ord", "doc_id", "n_words", "items", "from", "to").mapInArrow(kernel.freeing(_verdicts), _VERDICT).withColumn("doc_id", whole)
 
 
 def phrase_matches(index: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
@@ -274,7 +274,7 @@ def proximity_matches(index: DataFrame, text: str, slop: int) -> DataFrame:
                         out.append((seg.doc_ids[d], best[0] - first, best[1] + 1 - first))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32()))], names=["doc_id", "start", "end"])
 
-    return index.mapInArrow(run, "doc_id string, start int, `end` int")
+    return index.mapInArrow(kernel.freeing(run), "doc_id string, start int, `end` int")
 
 
 def _shortest(near: list[tuple[int, int]], terms: int, slop: int) -> tuple[int, int] | None:

@@ -193,8 +193,8 @@ def _sets(docs: DataFrame, carry: list[str], text: str, parts: int) -> DataFrame
             none = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types), none, none, pa.array([0]), pa.array([p], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=[*carry, *kinds.names])
 
-    sent = docs.select(*carry, F.col(text)).mapInArrow(tokens, schema)
-    return cut(sent.repartitionById(parts, "p").mapInArrow(count, schema))
+    sent = docs.select(*carry, F.col(text)).mapInArrow(kernel.freeing(tokens), schema)
+    return cut(sent.repartitionById(parts, "p").mapInArrow(kernel.freeing(count), schema))
 
 
 def _frequent(sets: DataFrame, parts: int) -> np.ndarray:
@@ -251,8 +251,8 @@ def _candidates(docs: DataFrame, text: str, parts: int, frequent, out_parts: int
         for blobs in held.values():
             yield from _pairs_of(*(np.concatenate(x) for x in zip(*blobs, strict=True)))
 
-    sent = docs.select(F.col(text)).mapInArrow(tokens, "p int, token binary, cls binary, code binary")
-    return cut(sent.repartitionById(out_parts, "p").mapInArrow(pairs, "list bigint, a bigint, b bigint, salt int, code int"))
+    sent = docs.select(F.col(text)).mapInArrow(kernel.freeing(tokens), "p int, token binary, cls binary, code binary")
+    return cut(sent.repartitionById(out_parts, "p").mapInArrow(kernel.freeing(pairs), "list bigint, a bigint, b bigint, salt int, code int"))
 
 
 _PAIR = pa.schema([("list", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("salt", pa.int32()), ("code", pa.int32())])
@@ -322,7 +322,7 @@ def _bitmap(rows: DataFrame, n: int, parts: int) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int64()), pa.array([np.packbits(x).tobytes() for x in slices.values()], pa.binary())], names=["p", "bits"])
 
     bit = F.pmod(F.xxhash64("_file", "_row"), F.lit(bits))
-    table = rows.select(F.floor(bit / span).cast("long").alias("p"), bit.cast("long").alias("at")).repartition(parts, "p").mapInArrow(build, "p bigint, bits binary").toArrow()
+    table = rows.select(F.floor(bit / span).cast("long").alias("p"), bit.cast("long").alias("at")).repartition(parts, "p").mapInArrow(kernel.freeing(build), "p bigint, bits binary").toArrow()
     out = np.zeros((-(-bits // span)) * span, bool)
     for p, b in zip(table.column("p").to_pylist(), table.column("bits").to_pylist(), strict=True):
         out[p * span : (p + 1) * span] = np.unpackbits(np.frombuffer(b, np.uint8))[:span].astype(bool)
@@ -348,7 +348,7 @@ def _blobs(docs: DataFrame, text: str, parts: int, frequent, bits: int, bitmap:
                     rows.append((class_of(s), pack(s), np.concatenate(heads).astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["cls", "tokens", "prefixes"])
 
-    return cut(docs.select(F.pmod(F.xxhash64("_file", "_row"), F.lit(bits)).cast("long"), F.col(text)).mapInArrow(run, "cls bigint, tokens binary, prefixes binary"))
+    return cut(docs.select(F.pmod(F.xxhash64("_file", "_row"), F.lit(bits)).cast("long"), F.col(text)).mapInArrow(kernel.freeing(run), "cls bigint, tokens binary, prefixes binary"))
 
 
 def pack(tokens: np.ndarray) -> bytes:
@@ -387,7 +387,7 @@ def _meet(pairs: DataFrame, blobs: DataFrame, blob: str, parts: int, keep, unpac
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "salt"])
 
     joined = cells.join(blobs.select("cls", blob), "cls").select("a", "salt", "cls", blob)
-    return cut(joined.repartition(parts, "a", "salt").mapInArrow(run, "a bigint, b bigint, salt int"))
+    return cut(joined.repartition(parts, "a", "salt").mapInArrow(kernel.freeing(run), "a bigint, b bigint, salt int"))
 
 
 def _share_prefixes(a: list[np.ndarray], b: list[np.ndarray]) -> bool:
@@ -458,7 +458,7 @@ def _verify_cells(cells: DataFrame, blobs: DataFrame, parts: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     joined = cells.join(blobs, "cls").select("family", "i", "j", "cls", "code", "root", "lists", "tokens", "prefixes")
-    return cut(joined.repartition(parts, "family", "i", "j").mapInArrow(run, "u bigint, v bigint"))
+    return cut(joined.repartition(parts, "family", "i", "j").mapInArrow(kernel.freeing(run), "u bigint, v bigint"))
 
 
 def _cell_links(rows: list[tuple]) -> Iterator[tuple[int, int]]:

@@ -222,8 +222,8 @@ def _occurrences(docs: DataFrame, parts: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    sent = docs.select("_file", "_row", "_rank", "text").mapInArrow(send, schema)
-    return cut(sent.repartitionById(parts, "p").mapInArrow(settle, schema).select("seg", "files", "rows", "idx", "ord"))
+    sent = docs.select("_file", "_row", "_rank", "text").mapInArrow(kernel.freeing(send), schema)
+    return cut(sent.repartitionById(parts, "p").mapInArrow(kernel.freeing(settle), schema).select("seg", "files", "rows", "idx", "ord"))
 
 
 def _lost_units(occurrences: DataFrame, parts: int) -> DataFrame:
@@ -252,7 +252,7 @@ def _lost_units(occurrences: DataFrame, parts: int) -> DataFrame:
             docs = idx[begin]
             yield pa.RecordBatch.from_arrays([pa.array(own["at"][0][docs]), pa.array(own["at"][1][docs]), pa.array(blobs, pa.binary())], names=["_file", "_row", "lost"])
 
-    return occurrences.repartition(parts, "seg").mapInArrow(gather, "_file bigint, _row bigint, lost binary")
+    return occurrences.repartition(parts, "seg").mapInArrow(kernel.freeing(gather), "_file bigint, _row bigint, lost binary")
 
 
 def _ranked(keyed: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -306,5 +306,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(removed, span), pa.array([len(x) for x in removed], pa.int64())], names=["rest", "text", "removed", "n_removed"])
 
     schema = schema_of([joined.schema["rest"], joined.schema["text"]], "removed array<struct<start:bigint,end:bigint>>, n_removed bigint")
-    out = joined.mapInArrow(apply, schema)
+    out = joined.mapInArrow(kernel.freeing(apply), schema)
     return out.select(*(F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in kept), "removed", "n_removed")

@@ -224,7 +224,7 @@ def _mapped(df: DataFrame, path: str, text: str, made: dict[str, tuple[str, pa.D
             new = [pa.array([r[i] for r in rows], type=kind) for i, (_, kind) in enumerate(made.values())]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in carry), *new], names=[*carry, *made])
 
-    return df.select(*carry, F.col(text)).mapInArrow(run, schema)
+    return df.select(*carry, F.col(text)).mapInArrow(kernel.freeing(run), schema)
 
 
 def prefix_counts(df: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -92,16 +92,30 @@ def bags(buf: np.ndarray, bounds: np.ndarray) -> Bags:
     return Bags(h[new], of_word[new], np.concatenate([doc_of, bare]), np.concatenate([spans, np.zeros((len(bare), 2), np.int64)]), n)
 
 
+def bags_of(texts: pa.Array) -> Iterator[tuple[int, Bags, int]]:
+    """(first text, bags, byte at which they begin in it) of runs of texts; a long text comes in pieces that end after a sentence, so memory does not grow with it."""
+    for row, buf, bounds in kernel.chunks(texts):
+        if len(buf) <= 2 * kernel.CHUNK or _SEP[buf].all():
+            yield row, bags(buf, bounds), 0
+            continue
+        stops = np.flatnonzero(_STOP[buf]) + 1
+        at = stops[np.minimum(np.searchsorted(stops, np.arange(kernel.CHUNK, len(buf), kernel.CHUNK)), max(0, len(stops) - 1))] if len(stops) else stops
+        edges = np.unique(np.concatenate([[0], at, [len(buf)]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if not _SEP[buf[a:b]].all():
+                yield row, bags(buf[a:b], np.array([0, b - a])), a
+
+
 def sentence_logits(b: Bags, model: Model) -> np.ndarray:
     return model.bias + np.bincount(b.sentence, model.weight_of(b.words), len(b.doc))
 
 
-def noisy_or(b: Bags, logits: np.ndarray, window: int) -> np.ndarray:
+def noisy_or(doc: np.ndarray, n_docs: int, logits: np.ndarray, window: int) -> np.ndarray:
     """1 - prod(1 - p) of the sentences of each document's highest window, by sums of log(1 - p)."""
-    order = np.argsort(b.doc, kind="stable")
-    doc, parts = b.doc[order], np.logaddexp(0, logits)[order]
+    order = np.argsort(doc, kind="stable")
+    doc, parts = doc[order], np.logaddexp(0, logits)[order]
     place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    best = np.zeros(b.n_docs)
+    best = np.zeros(n_docs)
     for shift in (0, window // 2):
         k = (place + shift) // window
         first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]))[: len(doc)])
@@ -119,17 +133,15 @@ def _merged(seen: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def screened(texts: pa.Array, y: np.ndarray) -> np.ndarray:
     """The features whose number of documents of label 1 is SCREEN deviations off what their number of documents gives, sorted."""
-    seen, n_docs = [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))], 0
-    for _, buf, bounds in kernel.chunks(texts):
-        b = bags(buf, bounds)
+    seen, n_docs = [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))], len(y)
+    for row, b, _ in bags_of(texts):
         own = b.doc[b.sentence]
         order = np.lexsort((own, b.words))
         h, own = b.words[order], own[order]
         once = np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1]))[: len(h)]  # a feature counts once in a document
         found, at = np.unique(h[once], return_inverse=True)
-        seen.append((found, np.bincount(at, minlength=len(found)), np.bincount(at, y[own[once] + n_docs], len(found))))
-        n_docs += b.n_docs
-        if len(seen) > 8:
+        seen.append((found, np.bincount(at, minlength=len(found)), np.bincount(at, y[own[once] + row], len(found))))
+        if len(seen) > 4:
             seen = [_merged(seen)]
     terms, docs_with, ones_with = _merged(seen)
     share = float(y.mean())
@@ -144,13 +156,11 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0, share)
     y = labels.astype(float)
     terms = screened(texts, y)
-    blocks, n_docs = [], 0  # of a chunk of text each: the known features, their sentences and the sentences' documents
-    for _, buf, bounds in kernel.chunks(texts):
-        b = bags(buf, bounds)
+    blocks, n_docs = [], len(y)  # of a chunk of text each: the known features, their sentences and the sentences' documents
+    for row, b, _ in bags_of(texts):
         k = np.minimum(np.searchsorted(terms, b.words), max(0, len(terms) - 1))
         known = terms[k] == b.words if len(terms) else np.zeros(len(b.words), bool)
-        blocks.append((k[known].astype(np.int32), b.sentence[known].astype(np.int32), (b.doc + n_docs).astype(np.int32)))
-        n_docs += b.n_docs
+        blocks.append((k[known].astype(np.int32), b.sentence[known].astype(np.int32), (b.doc + row).astype(np.int32)))
     per_doc = np.zeros(n_docs, np.int64)
     for _, _, doc in blocks:
         per_doc += np.bincount(doc, minlength=n_docs)
@@ -202,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         yield pa.RecordBatch.from_arrays([pa.array([model.terms.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias]), constant, pa.array([model.window], pa.int64())], names=["terms", "weights", "bias", "constant", "size"])
 
     # The sample is one partition, so one task fits the model and the driver only gets that.
-    made = ordered.mapInArrow(run, "terms binary, weights binary, bias double, constant double, size bigint").collect()
+    made = ordered.mapInArrow(kernel.freeing(run), "terms binary, weights binary, bias double, constant double, size bigint").collect()
     return Model(np.frombuffer(made[0].terms, np.uint64), np.frombuffer(made[0].weights, np.float64), made[0].bias, made[0].constant, made[0]["size"])
 
 
@@ -218,14 +228,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.zeros(0)]
-            for _, buf, bounds in kernel.chunks(batch.column(at)):
-                b = bags(buf, bounds)
-                constant = shared.value.constant
-                parts.append(noisy_or(b, sentence_logits(b, shared.value), shared.value.window) if constant is None else np.full(b.n_docs, constant))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(parts))], names=[*keep, "score"])
+            if shared.value.constant is None:
+                doc, logits = [np.zeros(0, np.int64)], [np.zeros(0)]
+                for row, b, _ in bags_of(batch.column(at)):
+                    doc.append(b.doc + row)
+                    logits.append(sentence_logits(b, shared.value))
+                found = noisy_or(np.concatenate(doc), batch.num_rows, np.concatenate(logits), shared.value.window)
+            else:
+                found = np.full(batch.num_rows, shared.value.constant)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found)], names=[*keep, "score"])
 
-    return docs.select(*sent).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(kernel.freeing(run), schema)
 
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,18 +250,17 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column(0), []
-            for row, buf, bounds in kernel.chunks(batch.column(1)):
-                b = bags(buf, bounds)
+            for row, b, start in bags_of(batch.column(1)):
                 p = 1 / (1 + np.exp(-np.clip(sentence_logits(b, shared.value), -30, 30)))
                 for s in np.flatnonzero(p >= least):
-                    d, (x, y) = int(b.doc[s]), b.spans[s]
-                    whole = buf[bounds[d] + x : bounds[d] + y].tobytes().decode("utf-8", "replace")
-                    out.append((ids[row + d].as_py(), int(x), int(y), whole, float(p[s])))
+                    d, x, y = row + int(b.doc[s]), start + int(b.spans[s][0]), start + int(b.spans[s][1])
+                    whole = (batch.column(1)[d].as_py() or "").encode("utf-8")[x:y].decode("utf-8", "replace")
+                    out.append((ids[d].as_py(), x, y, whole, float(p[s])))
             out.sort(key=lambda r: (str(r[0]), r[1]))
             kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=[id_col, "start", "end", "sentence", "probability"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start bigint, `end` bigint, sentence string, probability double")
+    return docs.select(id_col, text).mapInArrow(kernel.freeing(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start bigint, `end` bigint, sentence string, probability double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.code import ship
+from . import kernel
 from .store import cut
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,7 +83,7 @@ def parse_rules(lines: DataFrame, column: str = "pattern", decisive: bool = True
                 pa.schema([("name", pa.string()), ("rule_verdict", pa.string()), ("regex", pa.string()), ("literals", pa.list_(pa.string())), ("decisive", pa.bool_())]),
             )
 
-    return lines.select(F.col(column).alias("line")).where("line <> ''").distinct().mapInArrow(run, _RULES)
+    return lines.select(F.col(column).alias("line")).where("line <> ''").distinct().mapInArrow(kernel.freeing(run), _RULES)
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
