@@ -100,7 +100,7 @@ def test_seeks(spark):
     assert [r.key for r in scan.seek(current, 3, 2).collect()] == [4, 9]
     assert [r.key for r in scan.seek_for_prev(current, 8, 2).collect()] == [4, 2]
     probes = spark.createDataFrame([(1,), (2,), (8,), (69,), (500,)], "key long")
-    assert {r.key: r.found for r in scan.seek_for_prev_each(current, probes, 4).collect()} == {1: None, 2: 2, 8: 4, 69: 9, 500: 70}
+    assert {r.key: r.found for r in scan.seek_for_prev_each(current, probes).collect()} == {1: None, 2: 2, 8: 4, 69: 9, 500: 70}
 
 
 def test_deadlocks(spark):
@@ -111,8 +111,22 @@ def test_deadlocks(spark):
 def test_deadlocks_on_long_cycles(spark):
     waits = spark.createDataFrame([(i, (i + 1) % 150) for i in range(150)] + [(150 + i, 149 + i) for i in range(30)], "waiter long, holder long")
     assert sorted(r.txn for r in overlay.deadlocked(waits).collect()) == list(range(150))
-    with pytest.raises(RuntimeError):
-        overlay.deadlocked(waits, most=3)
+
+
+def test_deadlocks_equal_brute_force(spark):
+    rng = random.Random(3)
+    for n, m in ((40, 45), (60, 70), (30, 60)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} | {(100 + i, 100 + (i + 1) % 7) for i in range(7)} | {(103, 5)}
+        reach = {x: {b for a, b in edges if a == x} for x in {a for a, _ in edges}}
+        for _ in range(n + 10):
+            reach = {x: r | {z for y in r for z in reach.get(y, ())} for x, r in reach.items()}
+        got = sorted(r.txn for r in overlay.deadlocked(spark.createDataFrame(sorted(edges), "waiter long, holder long")).collect())
+        assert got == sorted(x for x, r in reach.items() if x in r)
+
+
+def test_a_ring_of_ten_thousand(spark):
+    waits = spark.range(10_000).selectExpr("id AS waiter", "(id + 1) % 10000 AS holder")
+    assert overlay.deadlocked(waits).count() == 10_000
 
 
 def test_skip_until(spark):

@@ -20,6 +20,7 @@ class MergeOperator:
     fold: Callable[[Column, Column], Column]  # (base or null, array of operands) -> value
     reduces: Callable[[Column], Column] | None = None  # aggregate of operands
     combine: Callable[[Column, Column], Column] | None = None  # (base or null, aggregate or null) -> value
+    last_wins: bool = False  # only the newest operand counts
 
 
 def _wrap(x: Column) -> Column:
@@ -49,7 +50,7 @@ def maximum() -> MergeOperator:
 
 def put() -> MergeOperator:
     """The last operand, or the base if there is none."""
-    return MergeOperator("put", lambda base, xs: F.coalesce(F.get(xs, F.size(xs) - 1), base))
+    return MergeOperator("put", lambda base, xs: F.coalesce(F.get(xs, F.size(xs) - 1), base), last_wins=True)
 
 
 def stringappend(delimiter: str = ",") -> MergeOperator:

@@ -34,6 +34,8 @@ def keep_newest(log: DataFrame, snapshots: list[int], bottommost: bool = False)
 def merge_stripes(log: DataFrame, snapshots: list[int], merge: MergeOperator) -> DataFrame:
     """key, stripe, op, value: merges collapse per stripe; on a base of the same stripe they become a put, else stay a merge."""
     v = with_stripe(log, snapshots)
+    if merge.reduces:
+        return _reduced_stripes(v, merge)
     rows = v.groupBy("key", "stripe").agg(
         F.max(F.when(F.col("op") != "MERGE", F.col("seq"))).alias("base_seq"),
         F.max_by(F.struct("op", "value"), F.when(F.col("op") != "MERGE", F.col("seq"))).alias("base"),
@@ -47,6 +49,17 @@ def merge_stripes(log: DataFrame, snapshots: list[int], merge: MergeOperator) ->
     return rows.select("key", "stripe", op.alias("op"), value.alias("value"))
 
 
+def _reduced_stripes(v: DataFrame, merge: MergeOperator) -> DataFrame:
+    """merge_stripes of a commutative operator: operands are reduced before the shuffle, whatever their number."""
+    bases = v.where("op <> 'MERGE'").groupBy("key", "stripe").agg(F.max("seq").alias("base_seq"), F.max_by(F.struct("op", "value"), "seq").alias("base"))
+    after = v.where("op = 'MERGE'").join(bases.select("key", "stripe", "base_seq"), ["key", "stripe"], "left").where("base_seq IS NULL OR seq > base_seq")
+    folded = after.groupBy("key", "stripe").agg(merge.reduces(F.col("value")).alias("operands"), F.count("*").alias("n"))
+    rows = bases.join(folded, ["key", "stripe"], "full_outer")
+    op = F.when(F.col("base_seq").isNull(), "MERGE").when(F.col("n") > 0, "PUT").otherwise(F.col("base.op"))
+    value = merge.combine(F.when(F.col("base.op") == "PUT", F.col("base.value")), F.col("operands"))
+    return rows.select("key", "stripe", op.alias("op"), value.alias("value"))
+
+
 def pair_single_deletes(log: DataFrame, bottommost: bool = True) -> DataFrame:
     """Within a key, newest first: a single delete and the put right below it vanish together; of single deletes in a row only the last counts; at the bottom one without a put goes."""
     newest_first = Window.partitionBy("key").orderBy(F.col("seq").desc())
@@ -60,8 +73,8 @@ def pair_single_deletes(log: DataFrame, bottommost: bool = True) -> DataFrame:
 
 def filter_newest(log: DataFrame, remove: Column, change: Column | None = None) -> DataFrame:
     """A compaction filter sees only the newest version of a key: it may drop it or change its value."""
-    newest = F.row_number().over(Window.partitionBy("key").orderBy(F.col("seq").desc())) == 1
-    v = log.withColumn("_newest", newest).where(~(F.col("_newest") & remove))
+    tops = log.groupBy("key").agg(F.max("seq").alias("_top"))  # partial aggregation, so a hot key is no one task's window
+    v = log.join(tops, "key").withColumn("_newest", F.col("seq") == F.col("_top")).where(~(F.col("_newest") & F.coalesce(remove, F.lit(False))))
     if change is not None:
         v = v.withColumn("value", F.when(F.col("_newest"), change).otherwise(F.col("value")))
     return v.select(*log.columns)
@@ -71,16 +84,10 @@ def skip_until(rows: DataFrame, until: Column) -> DataFrame:
     """Rows in key order where a row with a non-null `until` removes itself and all keys below it. Keys are unique numbers.
 
     The running maximum is taken per range of keys and carried over from the ranges before."""
-    from .ordering import range_bounds, range_of
+    from .ordering import running
 
-    deal = range_of(F.col("key"), range_bounds(rows, "key"))
-    v = rows.withColumns({"_until": until, "_range": deal})
-    own = Window.partitionBy("_range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    tops = v.groupBy("_range").agg(F.max("_until").alias("_top"))
-    carried = tops.select(F.col("_range").alias("_r"), F.max("_top").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))  # a row per range
-    v = v.withColumn("_seen", F.max("_until").over(own)).join(F.broadcast(carried), F.col("_range") == F.col("_r"))
-    bar = F.greatest("_seen", "_carried")
-    return v.where(F.col("_until").isNull() & (bar.isNull() | (F.col("key") >= bar))).select(*rows.columns)
+    v = running(rows.withColumn("_until", until), ["key"], F.col("_until"), "_bar", False, inclusive=False)
+    return v.where(F.col("_until").isNull() & (F.col("_bar").isNull() | (F.col("key") >= F.col("_bar")))).select(*rows.columns)
 
 
 def live_by_ttl(rows: DataFrame, ttl: int, now: Column | int, seconds: Column) -> DataFrame:
@@ -91,11 +98,11 @@ def live_by_ttl(rows: DataFrame, ttl: int, now: Column | int, seconds: Column) -
 def drop_statistics(log: DataFrame, snapshots: list[int], remove: Column) -> DataFrame:
     """What a full compaction does with versions: hidden by a newer one, obsolete deletes, removed by the filter, kept."""
     v = with_stripe(log, snapshots)
-    in_stripe = Window.partitionBy("key", "stripe").orderBy(F.col("seq").desc())
-    in_key = Window.partitionBy("key").orderBy(F.col("seq").desc())
     earliest = F.col("stripe") == F.lit(min(snapshots) if snapshots else LATEST)
-    v = v.withColumns({"_s": F.row_number().over(in_stripe), "_k": F.row_number().over(in_key)})
-    fate = F.when(F.col("_s") > 1, "hidden").when(earliest & (F.col("op") == "DELETE"), "obsolete").when((F.col("_k") == 1) & remove, "user").otherwise("kept")
+    of_stripe = v.groupBy("key", "stripe").agg(F.max("seq").alias("_s"))
+    tops = of_stripe.groupBy("key").agg(F.max("_s").alias("_k"))
+    v = v.join(of_stripe, ["key", "stripe"]).join(tops, "key")
+    fate = F.when(F.col("seq") < F.col("_s"), "hidden").when(earliest & (F.col("op") == "DELETE"), "obsolete").when((F.col("seq") == F.col("_k")) & remove, "user").otherwise("kept")
     return v.groupBy(fate.alias("fate")).agg(F.count("*").alias("n"))
 
 

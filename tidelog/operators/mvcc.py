@@ -42,12 +42,12 @@ def resolve(log: DataFrame, merge: MergeOperator, snapshot: Column | int | None
     stand after its newest base."""
     v = visible(log, snapshot)
     if tombstones is not None:
-        dead = buried(v, visible(tombstones, snapshot))
-        v = v.join(dead, ["key", "seq"], "left_anti").unionByName(
-            v.join(dead, ["key", "seq"], "left_semi").withColumns({"op": F.lit("DELETE"), "value": F.lit(None).cast(v.schema["value"].dataType)})
-        )
+        dead = buried(v, visible(tombstones, snapshot)).withColumn("_dead", F.lit(True))
+        v = v.join(dead, ["key", "seq"], "left").withColumns({"op": F.when(F.col("_dead"), "DELETE").otherwise(F.col("op")), "value": F.when(F.col("_dead").isNull(), F.col("value"))}).drop("_dead")
     base_seq = F.max(F.when(F.col("op") != "MERGE", F.col("seq")))
     base = F.max_by(F.when(F.col("op") == "PUT", F.col("value")), F.when(F.col("op") != "MERGE", F.col("seq")))
+    if merge.last_wins:
+        return newest(v).where("op IN ('PUT', 'MERGE')").select("key", "value")
     if merge.reduces:
         # A commutative fold: operands after the base are picked by one more pass over the key's base.
         bases = v.where("op <> 'MERGE'").groupBy("key").agg(F.max("seq").alias("base_seq"), F.max_by(F.when(F.col("op") == "PUT", F.col("value")), "seq").alias("base"))
@@ -64,11 +64,11 @@ def resolve(log: DataFrame, merge: MergeOperator, snapshot: Column | int | None
 def operands(log: DataFrame, most: int, snapshot: Column | int | None = None) -> DataFrame:
     """key, status, operands (newest first) of live keys: the base's value and the merge operands after it, unfolded; with over `most` none and Incomplete."""
     v = visible(log, snapshot)
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("back"), "op", "value")))
-    g = v.groupBy("key").agg(rows.alias("rows"))
-    stop = F.array_position(F.transform("rows", lambda r: r["op"] != "MERGE"), True)
-    taken = F.when(stop == 0, F.col("rows")).otherwise(F.slice("rows", 1, F.greatest(stop, F.lit(1)).cast("int")))
-    values = F.transform(F.filter(taken, lambda r: r["op"].isin("MERGE", "PUT")), lambda r: r["value"])
+    bases = v.where("op <> 'MERGE'").groupBy("key").agg(F.max("seq").alias("_base"))  # versions below a key's base are not collected
+    above = v.join(bases, "key", "left").where("_base IS NULL OR seq >= _base")
+    rows = F.array_sort(F.collect_list(F.when(F.col("op").isin("MERGE", "PUT"), F.struct((-F.col("seq")).alias("back"), "value"))))
+    g = above.groupBy("key").agg(rows.alias("rows"))
+    values = F.transform("rows", lambda r: r["value"])
     g = g.select("key", values.alias("operands")).where("size(operands) > 0")
     return g.select("key", F.when(F.size("operands") > most, "Incomplete").otherwise("OK").alias("status"), F.when(F.size("operands") <= most, F.col("operands")).alias("operands"), F.size("operands").cast("long").alias("n"))
 

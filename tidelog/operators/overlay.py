@@ -55,21 +55,41 @@ def two_phase(marks: DataFrame) -> DataFrame:
     return seen.where("prepare").select("txn", state.alias("state"))
 
 
-def deadlocked(waits: DataFrame, most: int = 40) -> DataFrame:
-    """txn of waits(waiter, holder) that wait for themselves over any number of waits; fails where 2^most waits do not tell.
-
-    Transactions that nobody waits for or that wait for nobody can't be on a cycle and are
-    peeled off; reachability among the rest is then squared, so few rounds see long cycles."""
+def deadlocked(waits: DataFrame) -> DataFrame:
+    """txn of waits(waiter, holder) that wait for themselves over any number of waits.
+
+    A transaction that waits for one other is passed over by pointer doubling: after k rounds its pointer is 2^k waits on,
+    or at the end of its chain, a transaction that waits for several (or, by the last round, on a ring of such transactions, each of which is deadlocked). Only
+    those that wait for several are searched by squared reachability; what lies on the chains between
+    two of them that reach each other is marked by the same pointers. So rounds grow with the logarithm of the longest cycle, and pairs only
+    with the transactions that wait for several."""
     edges = cut(waits.where("waiter IS NOT NULL AND holder IS NOT NULL").select("waiter", "holder").distinct())
-    for _ in range(6):  # only speed: what is left of the tails is squared, too
+    for _ in range(6):  # only speed: tails that wait for nobody or that nobody waits for
         edges = cut(edges.join(edges.select(F.col("holder").alias("waiter")).distinct(), "waiter", "left_semi").join(edges.select(F.col("waiter").alias("holder")).distinct(), "holder", "left_semi").select("waiter", "holder"))
-    reach = edges
-    for _ in range(most):
-        n = reach.count()
+    out = edges.groupBy("waiter").agg(F.count("*").alias("n"), F.min("holder").alias("holder"))
+    single = out.where("n = 1").select(F.col("waiter").alias("at"), F.col("holder").alias("to"))
+    several = out.where("n > 1").select(F.col("waiter").alias("txn"))
+    jumps, rounds = [cut(single)], max(1, single.count()).bit_length() + 1
+    for _ in range(rounds):  # a pointer that leaves the single ones stays where it left them
+        now = jumps[-1]
+        onward = now.select(F.col("at").alias("to"), F.col("to").alias("next"))
+        jumps.append(cut(now.join(onward, "to", "left").select("at", F.coalesce("next", "to").alias("to"))))
+    ends = jumps[-1]
+    ring = cut(ends.join(single.select(F.col("at").alias("to")), "to", "left_semi").select(F.col("to").alias("txn")).distinct())  # after more steps than there are
+    branch = edges.join(several.select(F.col("txn").alias("waiter")), "waiter", "left_semi")
+    whole = branch.join(ends.select(F.col("at").alias("holder"), F.col("to").alias("end")), "holder", "left").select("waiter", "holder", F.coalesce("end", "holder").alias("end"))
+    whole = cut(whole.join(several.select(F.col("txn").alias("end")), "end", "left_semi").select("waiter", "holder", "end"))
+    reach = cut(whole.select("waiter", F.col("end").alias("holder")).distinct())
+    before = -1
+    while (n := reach.count()) != before:
+        before = n
         longer = reach.alias("a").join(reach.alias("b"), F.col("a.holder") == F.col("b.waiter")).select(F.col("a.waiter"), F.col("b.holder"))
         reach = cut(reach.union(longer).distinct())
-        if reach.count() == n:
-            break
-    else:
-        raise RuntimeError(f"waits are still being found after {most} rounds")
-    return reach.where("waiter = holder").select(F.col("waiter").alias("txn"))
+    # A wait of a branch is on a cycle if its chain's end reaches the branch again (or is it); so is all of that chain.
+    back = reach.select(F.col("waiter").alias("end"), F.col("holder").alias("waiter"))
+    closed = whole.join(back, ["end", "waiter"], "left_semi").unionByName(whole.where("end = waiter"))
+    marked = cut(closed.select(F.col("waiter").alias("txn")).union(closed.select(F.col("holder").alias("txn"))).distinct())
+    if not marked.isEmpty():
+        for jump in jumps[:-1]:
+            marked = cut(marked.union(marked.join(jump.select(F.col("at").alias("txn"), "to"), "txn").select(F.col("to").alias("txn"))).distinct())
+    return ring.union(marked).distinct()

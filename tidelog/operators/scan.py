@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mvcc import newest, visible
-from .ordering import prefix_sums
+from .ordering import prefix_sums, running
 from .ranges import range_join
 
 
@@ -53,19 +53,13 @@ def seek_for_prev(current: DataFrame, target, n: int = 1) -> DataFrame:
     return scan(current.where(F.col("key") <= target), limit=n, reverse=True)
 
 
-def seek_for_prev_each(current: DataFrame, probes: DataFrame, width: int = 1024) -> DataFrame:
-    """For each probe key the greatest key at or before it (null if none): an as-of join on whole numbers.
+def seek_for_prev_each(current: DataFrame, probes: DataFrame) -> DataFrame:
+    """For each probe key the greatest key at or before it (null if none): an as-of join.
 
-    Keys and probes meet in blocks of `width` keys; a probe that finds nothing in its block
-    takes the greatest key of the blocks before."""
-    block = F.floor(F.col("key") / width).alias("_block")
-    rows = current.select("key", block, F.col("key").alias("_found"), F.lit(0).alias("_kind")).unionByName(probes.select("key", block, F.lit(None).cast("long").alias("_found"), F.lit(1).alias("_kind")))
-    w = Window.partitionBy("_block").orderBy("key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    near = rows.withColumn("_found", F.last("_found", ignorenulls=True).over(w)).where("_kind = 1")
-    tops = current.groupBy(block).agg(F.max("key").alias("_top")).select(F.col("_block").alias("_b"), "_top")
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = near.select(F.col("_block").alias("_b")).distinct().join(tops, "_b", "full").withColumn("_before", F.max("_top").over(before))  # a row per block
-    return near.join(wanted.select(F.col("_b").alias("_block"), "_before"), "_block", "left").select("key", F.coalesce("_found", "_before").alias("found"))
+    Keys and probes are ordered together in ranges; the greatest key of the ranges before is carried into each."""
+    rows = current.select("key", F.lit(0).alias("_kind")).unionByName(probes.select("key", F.lit(1).alias("_kind")))
+    met = running(rows, ["key", "_kind"], F.when(F.col("_kind") == 0, F.col("key")), "found", True)
+    return met.where("_kind = 1").select("key", "found")
 
 
 def incremental(log: DataFrame, since) -> DataFrame:

@@ -150,7 +150,7 @@ def seek_for_prev(spark, d):
 
 @query(f"WITH {LOG}, {CUR}, {_KEYS} SELECT k.key, c.key AS found FROM keys k ASOF LEFT JOIN cur c ON k.key >= c.key")
 def asof_prev(spark, d):
-    return scan.seek_for_prev_each(mvcc.latest(_log(spark, d)), _keys(spark, d).select("key"), 64)
+    return scan.seek_for_prev_each(mvcc.latest(_log(spark, d)), _keys(spark, d).select("key"))
 
 
 @query(f"WITH {LOG}, {CUR} SELECT key, value FROM cur WHERE key >= 5 AND key < 100")
