@@ -122,3 +122,45 @@ def xor_bytes(values: Column) -> Column:
 
     run.__annotations__ = {"column": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "binary")(values)
+
+
+def unvarint_hex(text: Column) -> Column:
+    """The number of a varint in hex (up to nine bytes)."""
+    n = F.floor(F.length(text) / 2).cast("int")
+    byte = lambda i: F.conv(F.substr(text, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.call_function("shiftleft", byte(i).bitwiseAND(F.lit(127).cast("long")), 7 * i)))
+
+
+def fixed32(n: Column) -> Column:
+    """Four bytes, little-endian, as hex."""
+    h = F.lpad(F.hex(n), 8, "0")
+    return F.concat(*(F.substring(h, 2 * i + 1, 2) for i in range(3, -1, -1)))
+
+
+def unfixed32(text: Column) -> Column:
+    h = F.concat(*(F.substring(text, 2 * i + 1, 2) for i in range(3, -1, -1)))
+    return F.conv(h, 16, 10).cast("long")
+
+
+def parse_double(text: Column) -> Column:
+    """A floating-point number; null if malformed."""
+    return F.trim(text).try_cast("double")
+
+
+def parse_int(text: Column) -> Column:
+    """A whole number of 32 bits with a sign; null if malformed or out of range."""
+    return F.trim(text).try_cast("int")
+
+
+def crc32(value: Column) -> Column:
+    return F.crc32(value.cast("binary"))
+
+
+def xxh64(value: Column) -> Column:
+    """XXH64 of the bytes, seed 42, as a signed number."""
+    return F.xxhash64(value.cast("binary"))
+
+
+def human_time(seconds: Column) -> Column:
+    """Seconds since 1970 as yyyy/MM/dd-HH:mm:ss in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy/MM/dd-HH:mm:ss")

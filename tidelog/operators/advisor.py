@@ -78,3 +78,17 @@ def deltas(series: DataFrame) -> DataFrame:
     """Cumulative counters to changes; the first point keeps its value."""
     w = Window.partitionBy("entity", "stat").orderBy("ts")
     return series.withColumn("value", F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0)))
+
+
+def parse_rules_file(lines: DataFrame) -> DataFrame:
+    """section, kind, name, key, value of an INI rules file (lines: at, line): sections are [kind "name"], entries key=value; comments and blanks are skipped.
+
+    A rules file is small, yet its sections are carried over ranges of lines, not in one task."""
+    from .ordering import running
+
+    text = F.trim("line")
+    head = F.regexp_extract(text, r'^\[(\w+)\s+"([^"]+)"\]$', 0)
+    own = running(lines.where((text != "") & ~text.startswith("#") & ~text.startswith(";")), ["at"], F.when(head != "", head), "section", True)
+    entry = own.where(F.trim("line").contains("=") & ~F.trim("line").startswith("["))
+    part = lambda i: F.regexp_extract("section", r'^\[(\w+)\s+"([^"]+)"\]$', i)
+    return entry.select(part(1).alias("kind"), part(2).alias("name"), F.trim(F.substring_index("line", "=", 1)).alias("key"), F.trim(F.expr("substr(line, instr(line, '=') + 1)")).alias("value"))

@@ -7,7 +7,7 @@ they; they are joined by key ranges only where there are any.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.merge import MergeOperator
@@ -61,6 +61,39 @@ def resolve(log: DataFrame, merge: MergeOperator, snapshot: Column | int | None
     return g.where("base IS NOT NULL OR size(operands) > 0").select("key", merge.fold(F.col("base"), F.col("operands")).alias("value"))
 
 
+def resolve_short(log: DataFrame, merge: MergeOperator, enough: int, snapshot: Column | int | None = None) -> DataFrame:
+    """resolve() whose merge asks for no more than `enough` operands: where as many stand above the base, the newest of them fold without a base.
+
+    Spark keeps `enough` rows a key per task before the shuffle."""
+    v = visible(log, snapshot)
+    bases = v.where("op <> 'MERGE'").groupBy("key").agg(F.max("seq").alias("_base"), F.max_by(F.when(F.col("op") == "PUT", F.col("value")), "seq").alias("base"))
+    above = v.where("op = 'MERGE'").join(bases.select("key", "_base"), "key", "left").where("_base IS NULL OR seq > _base")
+    newest_first = Window.partitionBy("key").orderBy(F.col("seq").desc())
+    few = above.withColumn("_r", F.row_number().over(newest_first)).where(F.col("_r") <= enough)
+    folded = few.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda o: o["value"]).alias("operands"))
+    both = bases.join(folded, "key", "full_outer").withColumn("operands", F.coalesce("operands", F.array().cast(folded.schema["operands"].dataType)))
+    base = F.when(F.size("operands") < enough, F.col("base"))
+    return both.where("base IS NOT NULL OR size(operands) > 0").select("key", merge.fold(base, F.col("operands")).alias("value"))
+
+
+def resolve_blobs(current: DataFrame, blobs: DataFrame) -> DataFrame:
+    """key, status, value: values that are blob references (is_blob) are looked up in blobs(blob, content); a dangling one is Corruption."""
+    met = current.join(blobs.withColumn("_there", F.lit(True)), (F.col("value") == F.col("blob")) & F.col("is_blob"), "left")
+    bad = F.col("is_blob") & F.col("_there").isNull()
+    return met.select("key", F.when(bad, "Corruption").otherwise("OK").alias("status"), F.when(F.col("is_blob"), F.col("content")).otherwise(F.col("value").cast("string")).alias("value"))
+
+
+def resolve_checked(log: DataFrame, merge: MergeOperator, valid: Column, strict: bool = False) -> DataFrame:
+    """key, status, value where a merge fails on an operand that is not valid: the key is Corruption, without a value (with strict the read itself fails)."""
+    bases = log.where("op <> 'MERGE'").groupBy("key").agg(F.max("seq").alias("_base"))
+    above = log.where("op = 'MERGE'").join(bases, "key", "left").where("_base IS NULL OR seq > _base")
+    failed = above.groupBy("key").agg(F.min(F.coalesce(valid, F.lit(False))).alias("_ok")).where("NOT _ok")
+    met = resolve(log, merge).join(failed, "key", "left")
+    bad = F.col("_ok").isNotNull()
+    status = F.when(bad, F.raise_error(F.lit("Corruption: merge failed")) if strict else F.lit("Corruption")).otherwise("OK")
+    return met.select("key", status.alias("status"), F.when(~bad, F.col("value")).alias("value"))
+
+
 def operands(log: DataFrame, most: int, snapshot: Column | int | None = None) -> DataFrame:
     """key, status, operands (newest first) of live keys: the base's value and the merge operands after it, unfolded; with over `most` none and Incomplete."""
     v = visible(log, snapshot)

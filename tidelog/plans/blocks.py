@@ -61,7 +61,10 @@ def cache_access_timeline(spark, d):
     return B.access_timeline(_plain(spark, d), 30 * _DAY, ["level", "bt"])
 
 
-@query()
+_DIST = f"{BLOCKS}, nx AS (SELECT seq, block, size, lag(seq) OVER (PARTITION BY block ORDER BY seq) AS prev, coalesce(lead(seq) OVER (PARTITION BY block ORDER BY seq), 1099511627776) AS nxt FROM blk)"
+
+
+@query(f"WITH {_DIST}, g AS (SELECT a.seq, coalesce(sum(b.size), 0)::BIGINT AS distance FROM nx a LEFT JOIN nx b ON b.seq > a.prev AND b.seq < a.seq AND b.nxt >= a.seq WHERE a.prev IS NOT NULL GROUP BY a.seq), h AS (SELECT {_upper('distance')} AS bucket, count(*) AS n FROM g GROUP BY 1) SELECT *, 100.0::DOUBLE * n / sum(n) OVER () AS share FROM h")
 def cache_reuse_distance(spark, d):
     return B.bucketed_share(B.reuse_distance(_ordered(spark, d)), "distance")
 
@@ -142,7 +145,7 @@ def _sim(spark, d):
 
 @query()
 def sim_policies(spark, d):
-    return simulate.simulate(_sim(spark, d), [(p, c) for p in simulate.POLICIES for c in (2_000, 10_000)], shards=4)
+    return simulate.simulate(_sim(spark, d), [(p, c) for p in simulate.POLICIES for c in (2_000, 10_000)])
 
 
 @query()
@@ -155,7 +158,7 @@ def sim_downsampled(spark, d):
     return simulate.simulate(_sim(spark, d), [("lru", 16_000), ("opt", 16_000)], sample=4)
 
 
-@query()
+@query(f"WITH {_DIST}, g AS (SELECT a.seq, count(b.seq) AS distance FROM nx a LEFT JOIN nx b ON b.seq > a.prev AND b.seq < a.seq AND b.nxt >= a.seq WHERE a.prev IS NOT NULL GROUP BY a.seq) SELECT c::BIGINT AS capacity, (SELECT count(*) FROM nx) - (SELECT count(*) FROM g WHERE distance < c) AS misses FROM (VALUES (50), (200), (800), (1600)) k(c)")
 def cache_mrc(spark, d):
     """LRU misses by capacity in blocks, all from one pass of reuse distances."""
     t = _ordered(spark, d).withColumn("size", F.lit(1).cast("long"))

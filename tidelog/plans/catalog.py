@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import admin, advisor, blocks, compaction, functions, reads, traces, workloads
+from . import admin, advisor, blocks, compaction, functions, reads, storage, traces, workloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (reads, compaction, functions, traces, blocks, advisor, workloads, admin)
+_MODULES = (reads, compaction, functions, traces, blocks, advisor, workloads, admin, storage)
 
 
 def queries() -> dict[str, Query]:

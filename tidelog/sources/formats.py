@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -79,7 +79,59 @@ def follow(spark: SparkSession, path: str, schema, since: int) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path).where(F.col("seq") >= since)
 
 
+def write_table(rows: DataFrame, path: str, kind: str = "parquet", codec: str = "snappy") -> None:
+    """One table in a file format: parquet, orc, json or csv (with a header)."""
+    writer = rows.write.format(kind).option("compression", codec)
+    (writer.option("header", True) if kind == "csv" else writer).save(path)
+
+
+def read_table(spark: SparkSession, path: str, kind: str, schema) -> DataFrame:
+    reader = spark.read.format(kind).schema(schema)
+    return (reader.option("header", True) if kind == "csv" else reader).load(path)
+
+
+def export_files(rows: DataFrame, path: str, key: str = "key", files: int = 4) -> None:
+    """Sorted files under path/data and, under path/manifest, their properties and sums."""
+    write_sorted(rows, f"{path}/data", key, files)
+    file_properties(rows.sparkSession, f"{path}/data", key).write.parquet(f"{path}/manifest")
+
+
+def verify_files(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
+    """file, status of the manifest's files: OK, Corruption (rows or sums differ from the stored ones) or NotFound."""
+    then = spark.read.parquet(f"{path}/manifest")
+    now = file_properties(spark, f"{path}/data", key).select("file", F.col("entries").alias("_n"), F.col("fingerprint").alias("_sum"))
+    met = then.join(now, "file", "left")
+    same = (F.col("entries") == F.col("_n")) & (F.col("fingerprint") == F.col("_sum"))
+    return met.select("file", F.when(F.col("_n").isNull(), "NotFound").when(same, "OK").otherwise("Corruption").alias("status"))
+
+
+def import_files(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
+    """The rows of an exported table; an error if a file is not as its manifest says."""
+    if bad := verify_files(spark, path, key).where("status <> 'OK'").limit(5).collect():
+        raise ValueError(f"Corruption: {', '.join(f'{r.file} {r.status}' for r in bad)}")
+    return spark.read.parquet(f"{path}/data")
+
+
+def read_pruned(spark: SparkSession, path: str, wanted: Column) -> tuple[DataFrame, int, int]:
+    """The rows of those files of an exported table whose manifest properties pass, how many files that are, and of how many."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    names = [r.file for r in manifest.where(wanted).select("file").collect()]  # a row per file
+    schema = spark.read.parquet(f"{path}/data").schema
+    rows = spark.read.schema(schema).parquet(*(f"{path}/data/{n}" for n in names)) if names else spark.createDataFrame([], schema)
+    return rows, len(names), manifest.count()
+
+
+def purge(spark: SparkSession, root: str, keep: int) -> list[int]:
+    """Delete all backups but the `keep` newest; the ids that are left."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    ids = sorted(int(x.getPath().getName().split("=")[1]) for x in system.listStatus(folder) if x.getPath().getName().startswith("backup_id="))
+    for i in ids[:-keep] if keep else ids:
+        system.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/backup_id={i}"), True)
+    return ids[-keep:] if keep else []
+
+
 def newest_marks(log: DataFrame) -> DataFrame:
     """key, seq of the newest version, for a follower to compare."""
-    w = Window.partitionBy("key").orderBy(F.col("seq").desc())
-    return log.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("key", "seq")
+    return log.groupBy("key").agg(F.max("seq").alias("seq"))
