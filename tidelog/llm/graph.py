@@ -25,11 +25,10 @@ def spread_join(big: DataFrame, small: DataFrame, on: str, by: Column) -> DataFr
 
 
 def _with_least(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links with m, the least v of their u; and (u, m) itself."""
+    """links with m, the least v of their u; and (u, m) itself. The minimum is aggregated before the shuffle, with the cells (SALTS at most) that it then goes to."""
     dealt = links.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("s"))
-    cells = dealt.groupBy("u", "s").agg(F.min("v").alias("m"))
-    least = cells.groupBy("u").agg(F.min("m").alias("m"))
-    return dealt.join(cells.select("u", "s").join(least, "u"), ["u", "s"]).select("u", "v", "m"), least
+    least = dealt.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("s").alias("cells"))
+    return dealt.join(least.select("u", F.explode("cells").alias("s"), "m"), ["u", "s"]).select("u", "v", "m"), least.select("u", "m")
 
 
 def _large(links: DataFrame) -> DataFrame:
