@@ -64,7 +64,7 @@ def cache_access_timeline(spark, d):
 _DIST = f"{BLOCKS}, nx AS (SELECT seq, block, size, lag(seq) OVER (PARTITION BY block ORDER BY seq) AS prev, coalesce(lead(seq) OVER (PARTITION BY block ORDER BY seq), 1099511627776) AS nxt FROM blk)"
 
 
-@query(f"WITH {_DIST}, g AS (SELECT a.seq, coalesce(sum(b.size), 0)::BIGINT AS distance FROM nx a LEFT JOIN nx b ON b.seq > a.prev AND b.seq < a.seq AND b.nxt >= a.seq WHERE a.prev IS NOT NULL GROUP BY a.seq), h AS (SELECT {_upper('distance')} AS bucket, count(*) AS n FROM g GROUP BY 1) SELECT *, 100.0::DOUBLE * n / sum(n) OVER () AS share FROM h")
+@query(f"WITH {_DIST}, g AS (SELECT a.seq, coalesce(sum(b.size), 0)::BIGINT AS distance FROM nx a LEFT JOIN nx b ON b.seq > a.prev AND b.seq < a.seq AND coalesce(b.prev, 0) <= a.prev WHERE a.prev IS NOT NULL GROUP BY a.seq), h AS (SELECT {_upper('distance')} AS bucket, count(*) AS n FROM g GROUP BY 1) SELECT *, 100.0::DOUBLE * n / sum(n) OVER () AS share FROM h")
 def cache_reuse_distance(spark, d):
     return B.bucketed_share(B.reuse_distance(_ordered(spark, d)), "distance")
 
