@@ -1,6 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Each step hangs neighbours on the smallest node known. A node's minimum is taken, and met with its
+First each task hangs the nodes of its own links, a bounded number at a time, on the smallest node
+that these links lead to; that needs no exchange and leaves less than a link per node. Then each step hangs neighbours on the smallest node known. A node's minimum is taken, and met with its
 links, in cells of (node, hash of the neighbour), so a hub's links are dealt to SALTS tasks. The link
 table is rewritten to the shared folder each round and its number of rounds grows with the
 logarithm of the longest chain.
@@ -8,14 +9,21 @@ logarithm of the longest chain.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kernel
 from .store import cut
 
 MAX_ROUNDS = 60
 #: Cells that one node's links are dealt to.
 SALTS = 64
+#: Links that a task contracts at a time.
+CONTRACTED = 1 << 20
 
 
 def spread_join(big: DataFrame, small: DataFrame, on: str, by: Column) -> DataFrame:
@@ -43,16 +51,57 @@ def _small(links: DataFrame) -> DataFrame:
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node of its component) that connect what the links (u, v) connect."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal size
+        found = contract(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2)))
+        held.clear()
+        size = 0
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CONTRACTED:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether every node hangs on one node only, and that on none."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(links.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs + holds > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component), for the nodes of links(u, v) other than the roots themselves.
+    """node, root (the smallest node of its component), for the nodes of links(u, v) (long, not null) other than the roots themselves.
 
     Self links and repeated links do no harm; without links the result is empty."""
-    now = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    before = None
+    now = cut(links.select("u", "v").mapInArrow(kernel.freeing(_contracted), "u bigint, v bigint").distinct())
     for _ in range(MAX_ROUNDS):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
         now = cut(_small(_large(now)))
     raise RuntimeError("components did not converge")

@@ -527,19 +527,17 @@ def _components_of(keyed: DataFrame, carry: tuple[str, ...] = (), with_root: boo
     if n:
         bits, bitmap = _bitmap(chosen, n, parts)
         blobs = _blobs(keyed, text, parts, frequent, bits, bitmap)
-        links = _verify(pairs, blobs, out_parts)
-        roots = components(links)
+        known = lambda found: found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = components(_verify(pairs, blobs, out_parts))
         for k in range(PIVOT_ROUNDS + 1):
             at = cut(_open_members(members, roots))
             if at.isEmpty():
                 break
             cells = cut(_cells_of(_families(at)))
             if k == PIVOT_ROUNDS or cells.count() <= SENT_SHARE * n:
-                links = links.union(_verify_cells(cells, blobs, out_parts))
-                roots = components(links)
+                roots = components(known(roots).union(_verify_cells(cells, blobs, out_parts)))
                 break
-            links = links.union(_verify(_new_pivots(at), blobs, out_parts))
-            roots = components(links)
+            roots = components(known(roots).union(_verify(_new_pivots(at), blobs, out_parts)))
     classes = rows.where("n > 0").groupBy("cls", "n").agg(F.min(id_col).alias("least"), F.count("*").alias("size"))
     if roots is None:
         named = classes.where("size > 1").select("cls", "n", F.col("cls").alias("root"), F.col("least").alias("component_id"))
