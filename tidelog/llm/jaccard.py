@@ -391,7 +391,7 @@ def _meet(pairs: DataFrame, blobs: DataFrame, blob: str, parts: int, keep, unpac
 
 
 def _share_prefixes(a: list[np.ndarray], b: list[np.ndarray]) -> bool:
-    return all(len(np.intersect1d(x, y)) for x, y in zip(a, b, strict=True))
+    return all(bool((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).any()) for x, y in zip(a, b, strict=True))
 
 
 def _verify(pairs: DataFrame, blobs: DataFrame, parts: int) -> DataFrame:
@@ -470,10 +470,6 @@ def _cell_links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
             x = parent[x]
         return x
 
-    by_list: dict[int, list[int]] = {}
-    for k, r in enumerate(rows):
-        for name in r[3]:
-            by_list.setdefault(name, []).append(k)
     sets: dict[int, tuple] = {}
 
     def of(k: int) -> tuple:
@@ -481,17 +477,28 @@ def _cell_links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
             sets[k] = (unpack(rows[k][4]), _prefixes(rows[k][5]))
         return sets[k]
 
-    seen: set[tuple[int, int]] = set()
-    for own in by_list.values():
-        for n, x in enumerate(own):
-            for y in own[n + 1 :]:
-                if (x, y) in seen or abs(rows[x][1] - rows[y][1]) > SIZE_BAND or find(rows[x][2]) == find(rows[y][2]):
-                    continue
-                seen.add((x, y))
-                (a, pa_), (b, pb_) = of(x), of(y)
-                if _share_prefixes(pa_, pb_) and similar(a, b):
-                    parent[find(rows[x][2])] = find(rows[y][2])
-                    yield rows[x][0], rows[y][0]
+    code, roots = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+    open_ = _shared([r[3] for r in rows]) & (np.abs(code[:, None] - code) <= SIZE_BAND) & (roots[:, None] != roots)
+    for x, y in np.argwhere(np.triu(open_, 1)).tolist():
+        if find(rows[x][2]) == find(rows[y][2]):
+            continue
+        (a, pa_), (b, pb_) = of(x), of(y)
+        if _share_prefixes(pa_, pb_) and similar(a, b):
+            parent[find(rows[x][2])] = find(rows[y][2])
+            yield rows[x][0], rows[y][0]
+
+
+def _shared(lists: list[list[int]]) -> np.ndarray:
+    """Which members have a list in common."""
+    names, at = np.unique(np.concatenate([np.array(x, np.int64) for x in lists]), return_inverse=True)
+    member = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    out = np.zeros((len(lists), len(lists)), bool)
+    for first in range(0, len(names), 1024):
+        inside = (at >= first) & (at < first + 1024)
+        of = np.zeros((len(lists), 1024), np.float32)
+        of[member[inside], at[inside] - first] = 1
+        out |= of @ of.T > 0
+    return out
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
