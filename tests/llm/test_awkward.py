@@ -284,6 +284,32 @@ def test_components(spark):
     assert graph.components(links.where("false")).count() == 0
 
 
+def test_components_of_a_long_chain_and_a_hub(spark):
+    order = random.Random(3).sample(range(1000, 4000), 3000)
+    links = [(a, b) for a, b in zip(order, order[1:])] + [(9000, k) for k in range(500)]
+    table = spark.createDataFrame(random.Random(4).sample(links, len(links)), "u long, v long").repartition(16)
+    got = {r.node: r.root for r in graph.components(table).collect()}
+    assert got == {**{k: 1000 for k in range(1001, 4000)}, **{k: 0 for k in [*range(1, 500), 9000]}}
+
+
+def test_contracted_links_connect_the_same():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        u, v = rng.integers(-30, 30, (2, int(rng.integers(0, 50))))
+        root = {x: x for x in [*u.tolist(), *v.tolist()]}
+        for _ in root:
+            for a, b in zip(u.tolist(), v.tolist()):
+                root[a] = root[b] = min(root[a], root[b])
+        nodes, roots = graph.contract(u, v)
+        assert dict(zip(nodes.tolist(), roots.tolist())) == {x: r for x, r in root.items() if x != r}
+
+
+def test_members_that_share_a_list():
+    rng = random.Random(6)
+    lists = [[rng.randrange(-4000, 4000) for _ in range(rng.randrange(1, 60))] for _ in range(90)]
+    assert jaccard._shared(lists).tolist() == [[not set(a).isdisjoint(b) for b in lists] for a in lists]
+
+
 def test_prefix_counts(awkward, nothing):
     path = registry.COUNT_TOKENIZER
     got = prefixcount.count_tokens(awkward, path, limit=10).collect()
