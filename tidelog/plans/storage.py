@@ -169,7 +169,7 @@ _RULES_FILE = ["# comment", '[Rule "stall"]', "suggestions=inc-buffers:slow", "c
 
 
 @query("""SELECT * FROM (VALUES ('Rule', 'stall', 'suggestions', 'inc-buffers:slow'), ('Rule', 'stall', 'conditions', 'stall-many'), ('Condition', 'stall-many', 'source', 'LOG'),
-('Condition', 'stall-many', 'regex', 'Stopping writes because of \d+ = x'), ('Suggestion', 'inc-buffers', 'option', 'max_write_buffer_number'), ('Suggestion', 'inc-buffers', 'action', 'increase')) t(kind, name, key, value)""")
+('Condition', 'stall-many', 'regex', 'Stopping writes because of \\d+ = x'), ('Suggestion', 'inc-buffers', 'option', 'max_write_buffer_number'), ('Suggestion', 'inc-buffers', 'action', 'increase')) t(kind, name, key, value)""")
 def adv_rules_file(spark, d):
     return advisor.parse_rules_file(spark.createDataFrame(list(enumerate(_RULES_FILE)), "at long, line string"))
 
