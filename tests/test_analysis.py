@@ -65,6 +65,52 @@ def test_policies_hold_their_capacity_and_opt_is_best(spark):
     assert hits["lru"] > 0
 
 
+def test_simulation_goes_by_batches_and_equals_brute_force(spark):
+    rows, df = trace_of(spark)
+    upcoming, after = {}, {}
+    for b, _, seq, *_ in reversed(rows):
+        upcoming[seq], after[b] = after.get(b, 1 << 60), seq
+    configs = [(p, c) for p in simulate.POLICIES for c in (20, 90)]
+    want = {}
+    for policy, capacity in configs:
+        cache = simulate.POLICIES[policy](capacity)
+        for b, size, seq, sec, high in rows:
+            miss = not cache.access(b, size, seq, upcoming[seq], high)
+            if seq > 30:
+                n = want.setdefault((policy, capacity, sec // 100), [0, 0, 0])
+                n[:] = n[0] + 1, n[1] + miss, n[2] + miss * size
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = simulate.simulate(df, configs, shards=1, warmup=30, slot=100)
+        assert {(r.policy, r.capacity, r.slot): [r.accesses, r.misses, r.miss_bytes] for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()  # that holds a whole shard in a Python worker
+
+
+@pytest.mark.parametrize("policy", ["lfu", "opt", "gdsize"])
+def test_scored_policies_keep_no_entry_per_access(policy):
+    rng, cache, after, upcoming = random.Random(3), simulate.POLICIES[policy](60), {}, {}
+    trace = [min(rng.randrange(40), rng.randrange(40)) for _ in range(6000)]
+    for at in range(len(trace), 0, -1):
+        upcoming[at], after[trace[at - 1]] = after.get(trace[at - 1], 1 << 60), at
+    held, floor, got, want = {}, 0.0, [], []  # key -> (score, at of that score, key, size, hits)
+    for at, key in enumerate(trace, 1):
+        size, hit = 1 + key % 9, key in held
+        got.append(cache.access(key, size, at, upcoming[at], False))
+        assert len(cache.heap) <= 2 * len(cache.held) + 64
+        while not hit and sum(h[3] for h in held.values()) + size > 60:
+            out = min(held.values())
+            floor = max(floor, out[0])
+            del held[out[2]]
+        hits = held[key][4] + 1 if hit else 1
+        score = {"lfu": float(hits), "opt": -float(upcoming[at]), "gdsize": floor + 1.0 / size}[policy]
+        held[key] = (score, held[key][1] if hit and held[key][0] == score else at, key, size, hits)
+        want.append(hit)
+    assert got == want
+
+
 def test_histogram_limits():
     limits = stats.bucket_limits(10_000)
     assert limits[:8] == (1, 2, 3, 4, 6, 9, 13, 19)
