@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import epoch_seconds
 from ..operators import stores, workload
 from ..sources.shapes import event_log, table
 from ..streaming import live
@@ -21,7 +22,7 @@ def blob_ttl_buckets(spark, d):
 
 @query("WITH b AS (SELECT (epoch(ts)::BIGINT + 3600 + user_id * 60) // 21600 AS bucket, sum(length(props))::BIGINT AS bytes FROM events GROUP BY 1), w AS (SELECT *, sum(bytes) OVER (ORDER BY bucket DESC) AS r FROM b) SELECT bucket, bytes FROM w WHERE r > 50000")
 def blob_fifo_eviction(spark, d):
-    e = table(spark, d, "events").select((F.unix_seconds(F.col("ts").cast("timestamp")) + 3600 + F.col("user_id") * 60).alias("expires"), F.length("props").cast("long").alias("size"))
+    e = table(spark, d, "events").select((epoch_seconds(F.col("ts")) + 3600 + F.col("user_id") * 60).alias("expires"), F.length("props").cast("long").alias("size"))
     return stores.evicted(stores.ttl_buckets(e, 21_600), 50_000)
 
 
