@@ -21,7 +21,7 @@ def events(spark, folder, micros: list[int], props: int):
     return con
 
 
-@pytest.mark.parametrize("name", ["blob_fifo_eviction"])
+@pytest.mark.parametrize("name", ["blob_fifo_eviction", "blob_ttl_buckets"])
 def test_buckets_of_expiry_equal_sql(spark, tmp_path, name):
     borders = [(21_600 * n - 3600 - 60 * u) * 1_000_000 for n in (78_981, 78_982) for u in range(3)]
     con = events(spark, tmp_path, [b + us for us in NEAR for b in borders], 400)
