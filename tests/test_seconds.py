@@ -26,3 +26,10 @@ def test_buckets_of_expiry_equal_sql(spark, tmp_path, name):
     borders = [(21_600 * n - 3600 - 60 * u) * 1_000_000 for n in (78_981, 78_982) for u in range(3)]
     con = events(spark, tmp_path, [b + us for us in NEAR for b in borders], 400)
     check(catalog.queries()[name](spark, str(tmp_path)), con, catalog.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("newest", [0, 400_000, 500_000, 600_000, 1_500_000])
+def test_ttl_equals_sql(spark, tmp_path, newest):
+    now = 1_706_000_000 * 1_000_000
+    con = events(spark, tmp_path, [now - 864_000 * 1_000_000 + us for us in NEAR] + [now, now + newest], 8)
+    check(catalog.queries()["compact_ttl"](spark, str(tmp_path)), con, catalog.oracle_sql()["compact_ttl"])

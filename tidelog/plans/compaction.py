@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.merge import by_name
+from ..functions.scalars import epoch_seconds
 from ..operators import compaction, mvcc
 from ..sources import formats
 from ..sources.shapes import event_log, file_stats, table
@@ -72,7 +73,7 @@ def compact_remove_empty(spark, d):
 
 @query(f"WITH {LOG} SELECT key, seq, value FROM log WHERE NOT (epoch(ts)::BIGINT + 864000 < (SELECT epoch(max(ts))::BIGINT FROM events))")
 def compact_ttl(spark, d):
-    log = _log(spark, d).withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
+    log = _log(spark, d).withColumn("sec", epoch_seconds(F.col("ts")))
     now = log.agg(F.max("sec")).first()[0]
     return compaction.live_by_ttl(log, 864_000, now, F.col("sec")).select("key", "seq", "value")
 
